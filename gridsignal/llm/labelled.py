@@ -35,7 +35,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, keep: Column,
             share = F.when(F.col("y") == value, F.lit(max_rows / n)).otherwise(share)
     drawn = (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 40)) / float(1 << 40)) < share
     chosen = y.filter(drawn).withColumn("weight", 1.0 / share)
-    return docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(chosen, "doc_id").select("text", "y", "weight")
+    # at most about max_rows ids a class, whatever the tables hold: sent to the texts, which then needn't be shuffled
+    return docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y", "weight")
 
 
 def chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
