@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsignal.llm.labelled import Bytes, fold, read, scored, training_rows
+from gridsignal.llm.labelled import Bytes, chunks, fold, read, scored, training_rows
 from gridsignal.llm.text import Words
 
 BUCKET_BITS = 18
 #: Character n-grams of these lengths, the spaces around a word included.
 LENGTHS = (2, 3, 4)
 DIMENSIONS = 8
-MAX_ROWS = 6_000
+MAX_ROWS = 4_000
 EPOCHS = 12
 RATE = 20.0
 CUT = 0.3
@@ -65,10 +65,14 @@ def train(texts: pa.Array, y: np.ndarray, weight: np.ndarray, seed: int = 5, bat
     size = 1 << BUCKET_BITS
     if len(np.unique(y)) < 2:
         return Subwords(np.zeros(size, np.float32), 0.0)
-    bucket, row = features(texts)
-    pair, n = np.unique(row * size + bucket, return_counts=True)
-    row, bucket = pair >> BUCKET_BITS, pair & (size - 1)
-    value = n / np.bincount(row, n, len(y))[row]
+    kept = []
+    for lo, hi in chunks(texts):
+        bucket, row = features(texts.slice(lo, hi - lo))
+        pair, n = np.unique(row * size + bucket, return_counts=True)
+        row = pair >> BUCKET_BITS
+        share = n / np.bincount(row, n, hi - lo)[row]
+        kept.append(((row + lo).astype(np.int32), (pair & (size - 1)).astype(np.int32), share.astype(np.float32)))
+    row, bucket, value = (np.concatenate(k) for k in zip(*kept, strict=True))
     first = np.searchsorted(row, np.arange(len(y) + 1))
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1, 1, (size, DIMENSIONS)) / DIMENSIONS
