@@ -21,18 +21,22 @@ from pyspark.sql import functions as F
 
 from gridsignal.llm.vectors import search_blocks, top, valid_vectors
 
-PAGE = 64
-FAN_OUT = 16
+PAGE = 512
+FAN_OUT = 8
 K = 5
 
 
 class Page:
-    """Entries of a node: ``rows`` are objects (leaf) or pivots; ``to_parent`` their distances to the node's pivot."""
+    """Entries of a node: ``rows`` are objects (leaf) or pivots, ``vectors`` theirs, ``to_parent`` their distances to the node's pivot."""
 
-    __slots__ = ("children", "radius", "rows", "to_parent")
+    __slots__ = ("children", "radius", "rows", "to_parent", "vectors")
 
-    def __init__(self, rows: np.ndarray, to_parent: np.ndarray, radius: np.ndarray | None = None, children: list[Page] | None = None):
-        self.rows, self.to_parent, self.radius, self.children = rows, to_parent, radius, children
+    def __init__(self, rows: np.ndarray, vectors: np.ndarray, to_parent: np.ndarray, radius: np.ndarray | None = None, children: list[Page] | None = None):
+        self.rows, self.vectors, self.to_parent, self.radius, self.children = rows, vectors, to_parent, radius, children
+
+    def scores(self, near: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Inner products of the entries at ``near``; a page that is mostly near is multiplied as it is."""
+        return (self.vectors @ q)[near] if 2 * len(near) > len(self.rows) else self.vectors[near] @ q
 
 
 class MTree:
@@ -53,7 +57,7 @@ class MTree:
 
     def _load(self, rows: np.ndarray, pivot: int) -> Page:
         if len(rows) <= PAGE:
-            return Page(rows, self._between(rows, pivot))
+            return Page(rows, self.x[rows], self._between(rows, pivot))
         seeds = self.rng.choice(rows, FAN_OUT, replace=False)
         nearest = np.stack([self._between(rows, s) for s in seeds], 1).argmin(1)
         pivots, radius, children = [], [], []
@@ -66,7 +70,7 @@ class MTree:
                 radius.append(self._between(part, s).max())
                 children.append(self._load(part, s))
         own = np.array(pivots)
-        return Page(own, self._between(own, pivot), np.array(radius), children)
+        return Page(own, self.x[own], self._between(own, pivot), np.array(radius), children)
 
     def search(self, q: np.ndarray, k: int, ids: np.ndarray, own_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows and scores of the k best by (score, smaller id), rows with ``own_id`` left out."""
@@ -80,11 +84,12 @@ class MTree:
             bound, _, to_pivot, page = heapq.heappop(heap)
             if bound > reach + self.margin:
                 break
-            near = np.abs(to_pivot - page.to_parent) - (0.0 if page.radius is None else page.radius) <= reach + self.margin
-            rows = page.rows[near]
-            score = self.x[rows] @ q
+            near = np.flatnonzero(np.abs(to_pivot - page.to_parent) - (0.0 if page.radius is None else page.radius) <= reach + self.margin)
+            rows, score = page.rows[near], page.scores(near, q)
             if page.children is None:
-                keep = ids[rows] != own_id
+                keep = (score >= best[-1] if len(best) == k else np.ones(len(score), bool)) & (ids[rows] != own_id)
+                if not keep.any():
+                    continue
                 rows, score = np.concatenate([best_rows, rows[keep]]), np.concatenate([best, score[keep]])
                 at = top(score, ids[rows], k)
                 best_rows, best = rows[at], score[at]
@@ -92,7 +97,7 @@ class MTree:
                     reach = np.sqrt(max(base - 2 * best[-1], 0.0))
             else:
                 distance = np.sqrt(np.maximum(base - 2 * score, 0.0))
-                for i, d in zip(np.flatnonzero(near), distance, strict=True):
+                for i, d in zip(near, distance, strict=True):
                     low = max(0.0, d - page.radius[i])
                     if low <= reach + self.margin:
                         heapq.heappush(heap, (low, pushed, d, page.children[i]))
