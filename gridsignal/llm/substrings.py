@@ -102,6 +102,10 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", key: tuple[str, ...]
     def part_of(data: pa.Table) -> int:
         return int(data.column("part")[0].as_py())
 
+    def ordered(data: pa.Table) -> pa.Table:
+        # a shuffle brings a part's rows in any order, each time another; masks need one order
+        return data.sort_by([(c, "ascending") for c in (*key, text_col)])
+
     def sketch(data: pa.Table) -> pa.Table:
         words = Words(data.column(text_col))
         return table(Sketch(windows(words, window)[1], n).questions(part_of(data), SKETCH))
@@ -109,7 +113,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", key: tuple[str, ...]
     def candidates(data: pa.Table, answers: pa.Table) -> pa.Table:
         if not data.num_rows:
             return table([])
-        words = Words(data.column(text_col))
+        words = Words(ordered(data).column(text_col))
         at, number = windows(words, window)
         maybe = Sketch(number, n).repeated(answers, SKETCH)
         keys = Distinct(number[maybe], second_numbers(words, at[maybe], window))
@@ -120,6 +124,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", key: tuple[str, ...]
     schema = T.StructType([parted.schema[f] for f in names]).add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
 
     def finish(data: pa.Table, answers: pa.Table) -> pa.Table:
+        data = ordered(data)
         words = Words(data.column(text_col))
         at, number = windows(words, window)
         maybe = joined_bits(answers, MASK)
