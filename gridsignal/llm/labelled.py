@@ -39,13 +39,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, keep: Column,
     return docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y", "weight")
 
 
-def chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Row ranges of about CHUNK bytes each, one row at least."""
+def chunks(texts: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``size`` bytes each, one row at least."""
     sizes = np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(float)) if len(texts) else np.zeros(0)
     ends = np.cumsum(sizes)
     lo = 0
     while lo < len(sizes):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CHUNK, "right")))
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, "right")))
         yield lo, hi
         lo = hi
 
