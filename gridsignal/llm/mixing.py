@@ -184,6 +184,32 @@ def measured(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return sizes.checkpoint()
 
 
+def mixed_documents(docs: DataFrame, weights: list[float], share: float, max_epochs: float = 2.0, n_shards: int = 8, seed: int = 7) -> DataFrame:
+    """The mix as documents: the columns of ``docs`` for each document and epoch in which words of it are taken.
+
+    A row's shard is that of its first taken words. A document taken whole keeps its text; else its text is the taken words, in order, joined by one space. n_chars, if
+    there, is that text's length. Within a task rows lie in the shards' shuffled order.
+    """
+    ensure_checkpoint_dir(docs.sparkSession)
+    rows = docs.withColumn("row_key", F.xxhash64("doc_id", "text", "source"))
+    sizes = rows.select("doc_id", "row_key", "source", word_count(F.col("text")).alias("size")).checkpoint()
+    if not sizes.groupBy("row_key").count().filter("count > 1").isEmpty():
+        # rows repeated in full are told apart by their number among equals
+        again = Window.partitionBy("row_key").orderBy("doc_id")
+        number = lambda df: df.withColumn("row_key", F.xxhash64("row_key", F.row_number().over(again)))
+        rows, sizes = number(rows), number(sizes).checkpoint()
+    pieces = mix(sizes, weights, share, max_epochs, n_shards, seed)[1]
+    first = [F.min_by(c, "start").alias(c) for c in ("shard", "place")]
+    spans = pieces.groupBy("row_key", "epoch").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("spans"), F.sum("length").alias("taken"), *first)
+    spans = spans.join(sizes.select("row_key", "size"), "row_key")
+    words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
+    some = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(words, s["start"].cast("int") + 1, s["length"].cast("int")))), " ")
+    out = rows.join(spans, "row_key").withColumn("text", F.when(F.col("taken") == F.col("size"), F.col("text")).otherwise(some))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
+    return out.sortWithinPartitions("shard", "place").select(*docs.columns)
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed with weights 3, 1, 2 to 150 % of all words, no source beyond twice its words."""
     sizes = measured(spark.read.parquet(f"{sf_dir}/documents.parquet"))

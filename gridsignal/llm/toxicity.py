@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -158,6 +159,19 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held: in
     return scored(docs, lambda texts: shared.value.score(texts), folds, held, cut)
 
 
+def keep_accepted(docs: DataFrame, model: KneserNeyPair, cut: float = CUT) -> DataFrame:
+    """The rows of ``docs`` whose text scores below ``cut``, unchanged. One scan, no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pc.fill_null(batch.column("text"), "")
+            low = [shared.value.score(texts.slice(lo, hi - lo)) < cut for lo, hi in chunks(texts)]
+            yield batch.filter(pa.array(np.concatenate(low) if low else np.zeros(0, bool)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
