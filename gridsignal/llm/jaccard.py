@@ -12,8 +12,9 @@ Work is done on one set for each text: copies are grouped first and only carry t
 no other set has are filtered out by the sketch (see ``parts``). Then
   1. in each signature's group the set with most shared signatures is the centre; each set is compared with its centres,
      which is linear in a group's size, and links give components;
-  2. only where a group still spans several components, sets outside its largest one are compared with the rest, in
-     blocks of bounded size: first on the parts' numbers and sizes, whose differences bound d from below, then exactly.
+  2. sets that hang together by shared signatures make a cluster; only where a cluster still spans several components,
+     sets outside its largest one are compared with the rest, in blocks of bounded size: first on the parts' numbers
+     and sizes, whose differences bound d from below, then exactly.
 Every pair that shares a signature is thus compared, ruled out by a bound, or already in one component.
 
 Defined results: null and empty texts have no shingles, link with nothing and are their own component; texts of fewer
@@ -40,7 +41,8 @@ from gridsignal.session import ensure_checkpoint_dir
 
 SHINGLE, NUMERATOR, DENOMINATOR = 4, 85, 100
 SKETCH = 0
-SKETCH_WIDTH = 1 << 22
+#: A set has hundreds of signatures: so few false alarms each that most sets have none.
+SKETCH_WIDTH, SKETCH_DEPTH = 1 << 24, 3
 PART_SEED, SUM_SEED, SPARSE = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
 NO_ID = (1 << 63) - 1
 #: Sets of a block in the second comparison.
@@ -163,14 +165,14 @@ def signature_table(docs: DataFrame, text_col: str, n: int, p: int, q: int) -> D
         if not data.num_rows:
             return table([])
         found = Signatures(ShingleSets(data.column(text_col), n), p, q)
-        return table(Sketch(found.number, parts, SKETCH_WIDTH).questions(int(data.column("part")[0].as_py()), SKETCH))
+        return table(Sketch(found.number, parts, SKETCH_WIDTH, SKETCH_DEPTH).questions(int(data.column("part")[0].as_py()), SKETCH))
 
     def rows(data: pa.Table, other: pa.Table) -> pa.Table:
         mask = pc.is_null(other.column("kind"))
         data = chosen_rows(data, other.filter(mask))
         sets = ShingleSets(data.column(text_col), n)
         found = Signatures(sets, p, q)
-        shared = Sketch(found.number, parts, SKETCH_WIDTH).repeated(other.filter(pc.invert(mask)), SKETCH) if len(found.number) else np.zeros(0, bool)
+        shared = Sketch(found.number, parts, SKETCH_WIDTH, SKETCH_DEPTH).repeated(other.filter(pc.invert(mask)), SKETCH) if len(found.number) else np.zeros(0, bool)
         lists, profiles = [], []
         at = np.full(data.num_rows, -1, np.int64)
         at[found.rows] = np.arange(len(found.rows))
@@ -202,7 +204,7 @@ def signature_table(docs: DataFrame, text_col: str, n: int, p: int, q: int) -> D
 
     by_part = parted.groupBy("part")
     sketches = by_part.cogroup(chosen.groupBy("part")).applyInArrow(sketch, MESSAGE)
-    estimates = sketches.groupBy("shard").applyInArrow(lambda asked: table(merge_sketches(asked, SKETCH, SKETCH_WIDTH)), MESSAGE)
+    estimates = sketches.groupBy("shard").applyInArrow(lambda asked: table(merge_sketches(asked, SKETCH, SKETCH_WIDTH, SKETCH_DEPTH)), MESSAGE)
     both = estimates.select("part", "kind", "n", "a", F.col("shard"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("copy_of"))
     none = [F.lit(None).cast(t).alias(c) for c, t in (("kind", "int"), ("n", "int"), ("a", "binary"), ("shard", "int"))]
     both = both.unionByName(chosen.select("part", *none, "id", "copy_of"))
@@ -249,39 +251,47 @@ def least_difference(numbers: np.ndarray, counts: np.ndarray, others: np.ndarray
 
 
 def remaining_pairs(members: DataFrame, p: int, q: int) -> DataFrame:
-    """Pairs of sets of different components that share a signature and may be linked.
+    """Pairs of sets of different components of a cluster that may be linked.
 
-    ``members``: sig, set, size, component, minor (not of the group's largest component), profile. Groups are cut into
-    blocks; each pair of blocks is one unit of work, several units make a task.
+    ``members``: cluster, set, size, band, component, minor (not of the cluster's largest component), profile0, profile1.
+    Clusters are cut into blocks; each pair of blocks is one unit of work, several units make a task. Sets that share
+    no signature differ in every part, so the bound rules them out too.
     """
-    count = members.groupBy("sig").agg((F.floor(F.sum(F.col("minor").cast("int")) / BLOCK) + 1).cast("int").alias("lefts"), (F.floor(F.count(F.lit(1)) / BLOCK) + 1).cast("int").alias("rights"))
-    members = members.join(count, "sig")
+    count = members.groupBy("cluster").agg((F.floor(F.sum(F.col("minor").cast("int")) / BLOCK) + 1).cast("int").alias("lefts"), (F.floor(F.count(F.lit(1)) / BLOCK) + 1).cast("int").alias("rights"))
+    members = members.join(count, "cluster")
     block = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), F.col("set")), F.col(n)).cast("int")
     left = members.filter("minor").withColumn("lb", block("lefts", 1)).withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("rights") - 1))).withColumn("left", F.lit(True))
     right = members.withColumn("rb", block("rights", 2)).withColumn("lb", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1))).withColumn("left", F.lit(False))
-    units = left.unionByName(right).withColumn("unit", F.xxhash64("sig", "lb", "rb"))
-    tasks = max(64, 4 * members.sparkSession.sparkContext.defaultParallelism)
-    units = units.withColumn("task", F.pmod("unit", F.lit(tasks)).cast("int")).select("task", "unit", "set", "size", "component", "left", "profile")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def work(unit: pa.Table) -> pa.RecordBatch:
-            ids, size, comp, on_left = (unit.column(c).to_numpy() for c in ("set", "size", "component", "left"))
-            grid = np.stack([np.frombuffer(b, np.uint8) for b in unit.column("profile").to_pylist()])
-            half = grid.shape[1] // 2
-            at = np.flatnonzero(~on_left)
-            src, dst = [], []
-            for i in np.flatnonzero(on_left):
-                other = at[(comp[at] != comp[i]) & (q * np.minimum(size[at], size[i]) >= p * np.maximum(size[at], size[i]))]
+    units = left.unionByName(right).withColumn("unit", F.xxhash64("cluster", "lb", "rb")).select("unit", "set", "size", "band", "component", "left", "profile0", "profile1")
+
+    def work(unit: pa.Table) -> pa.RecordBatch:
+        ids, size, band, comp, on_left = (unit.column(c).to_numpy() for c in ("set", "size", "band", "component", "left"))
+        profiles = [unit.column(c).to_pylist() for c in ("profile0", "profile1")]
+        src, dst = [], []
+        # an instance serves its own band by the first profile and the band before by the second; two sets of one band
+        # meet in their own instance only
+        for j in np.unique(np.concatenate([band, band + 1])):
+            own = [i for i in np.flatnonzero(band == j) if profiles[0][i] is not None]
+            before = [i for i in np.flatnonzero(band == j - 1) if profiles[1][i] is not None]
+            at = np.array(own + before, np.int64)
+            if not len(own):
+                continue
+            grid = np.stack([np.frombuffer(x, np.uint8) for x in [*(profiles[0][i] for i in own), *(profiles[1][i] for i in before)]])
+            half, first = grid.shape[1] // 2, np.arange(len(at)) < len(own)
+            for k in np.flatnonzero(on_left[at]):
+                i = at[k]
+                fits = ~on_left[at] & (comp[at] != comp[i]) & (q * np.minimum(size[at], size[i]) >= p * np.maximum(size[at], size[i]))
+                other = np.flatnonzero(fits if first[k] else fits & first)
                 if len(other):
-                    low = least_difference(grid[i, :half], grid[i, half:], grid[other, :half], grid[other, half:])
-                    other = other[low * (p + q) <= (q - p) * (size[other] + size[i])]
+                    low = least_difference(grid[k, :half], grid[k, half:], grid[other, :half], grid[other, half:])
+                    other = at[other[low * (p + q) <= (q - p) * (size[at[other]] + size[i])]]
                     src.append(np.full(len(other), ids[i]))
                     dst.append(ids[other])
-            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (src, dst))
-            return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b), pa.int64()), pa.array(np.minimum(a, b), pa.int64())], ["src", "dst"])
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (src, dst))
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b), pa.int64()), pa.array(np.minimum(a, b), pa.int64())], ["src", "dst"])
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         current = None
         for batch in batches:
             unit = batch.column("unit").to_numpy()
@@ -296,8 +306,7 @@ def remaining_pairs(members: DataFrame, p: int, q: int) -> DataFrame:
         if held:
             yield work(pa.Table.from_batches(held))
 
-    dealt = units.repartition(tasks, "unit").sortWithinPartitions("unit")
-    return dealt.mapInArrow(compare, "src long, dst long").distinct()
+    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(compare, "src long, dst long").distinct()
 
 
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, p: int = NUMERATOR, q: int = DENOMINATOR) -> DataFrame:
@@ -310,19 +319,18 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     # numbered by id and digest, which name a text even where ids repeat
     base = base.withColumn("set", F.xxhash64("id", "copy_of")).checkpoint()
     rank = F.size("sigs0") + F.size("sigs1")
-    sigs = base.filter(rank > 0).select("set", "band", rank.alias("rank"), "sigs0", "sigs1")
-    sigs = sigs.select("set", "rank", F.lit(0).alias("slot"), F.explode("sigs0").alias("sig")).union(sigs.select("set", "rank", F.lit(1).alias("slot"), F.explode("sigs1").alias("sig")))
+    sigs = base.filter(rank > 0).select("set", rank.alias("rank"), F.explode(F.concat("sigs0", "sigs1")).alias("sig"))
     groups = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("members"), F.max(F.struct("rank", "set")).alias("c")).filter("members > 1").select("sig", F.col("c.set").alias("centre"))
-    shared = sigs.join(groups, "sig").select("sig", "set", "slot", "centre").checkpoint()
-    stars = shared.filter("set <> centre").select(F.col("set").alias("src"), F.col("centre").alias("dst")).distinct()
+    stars = sigs.join(groups, "sig").filter("set <> centre").select(F.col("set").alias("src"), F.col("centre").alias("dst")).distinct().checkpoint()
     links = verified(stars, base, p, q).checkpoint()
-    found = connected_components(links)
-    placed = shared.join(found, shared["set"] == found["node"], "left").select("sig", "set", "slot", F.coalesce("component", "set").alias("component")).checkpoint()
-    sizes = placed.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("m"))
-    mixed_groups = sizes.groupBy("sig").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.struct("m", "component")).alias("largest")).filter("kinds > 1").select("sig", F.col("largest.component").alias("major"))
-    profile = base.filter(F.col("shingles").isNotNull()).select("set", "size", "profile0", "profile1")
-    members = placed.join(mixed_groups, "sig").join(profile, "set")
-    members = members.select("sig", "set", "size", "component", (F.col("component") != F.col("major")).alias("minor"), F.when(F.col("slot") == 0, F.col("profile0")).otherwise(F.col("profile1")).alias("profile"))
+    # a cluster: sets that hang together by shared signatures, linked or not
+    clusters = connected_components(stars).withColumnRenamed("component", "cluster")
+    found = connected_components(links).withColumnRenamed("node", "_node")
+    placed = clusters.join(found, F.col("node") == F.col("_node"), "left").select("cluster", F.col("node").alias("set"), F.coalesce("component", "node").alias("component"))
+    sizes = placed.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("m"))
+    split = sizes.groupBy("cluster").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.struct("m", "component"))["component"].alias("major")).filter("kinds > 1").drop("kinds")
+    profile = base.filter(F.col("shingles").isNotNull()).select("set", "size", "band", "profile0", "profile1")
+    members = placed.join(split, "cluster").withColumn("minor", F.col("component") != F.col("major")).drop("major").join(profile, "set")
     more = verified(remaining_pairs(members, p, q), base, p, q)
     final = connected_components(links.union(more))
     sets = base.select("set", "id", "copy_of", "size").join(final, F.col("set") == F.col("node"), "left").withColumn("group", F.coalesce("component", "set"))

@@ -92,10 +92,10 @@ def runs(shards: np.ndarray) -> Iterator[tuple[int, int, int]]:
 class Sketch:
     """The sketch of a part's keys. The same keys in the same order give the same questions, so answers can be matched."""
 
-    def __init__(self, keys: np.ndarray, n_shards: int, width: int = WIDTH):
+    def __init__(self, keys: np.ndarray, n_shards: int, width: int = WIDTH, depth: int = DEPTH):
         self.n_shards, self.size = n_shards, len(keys)
         self.rows = []
-        for seed in SEEDS[:DEPTH]:
+        for seed in SEEDS[:depth]:
             at = mixed(keys ^ seed)
             place = (shard_of(at, n_shards) << np.uint64(32)) | (at & np.uint64(width - 1))
             order = np.argsort(place, kind="stable")
@@ -129,10 +129,10 @@ def joined_bits(answers: pa.Table, kind: int) -> np.ndarray:
     return np.concatenate(got) if got else np.zeros(0, bool)
 
 
-def merge_sketches(questions: pa.Table, kind: int, width: int = WIDTH) -> list[tuple]:
+def merge_sketches(questions: pa.Table, kind: int, width: int = WIDTH, depth: int = DEPTH) -> list[tuple]:
     """A shard's work: add the parts' sketches up and answer, for each counter asked about, whether it reached 2."""
     out = []
-    for row in range(DEPTH):
+    for row in range(depth):
         asked = [m | {"at": unsqueeze_sorted(m["a"], m["n"], np.uint32)} for m in of_kind(questions, kind + row)]
         counters = np.zeros(width, np.uint8)
         for m in asked:
