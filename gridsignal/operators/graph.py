@@ -46,3 +46,115 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_r
     if nodes is None:
         return out
     return nodes.select("node").distinct().join(out, "node", "full").select("node", F.coalesce("component", "node").alias("component"))
+
+
+#: Neighbour offsets of the usual kernels.
+KERNELS = {
+    "2D-4n": [(-1, 0), (0, -1), (0, 1), (1, 0)],
+    "2D-8n": [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)],
+    "3D-6n": [(-1, 0, 0), (0, -1, 0), (0, 0, -1), (0, 0, 1), (0, 1, 0), (1, 0, 0)],
+    "3D-26n": [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) != (0, 0, 0)],
+}
+
+
+def lattice_edges(cells: DataFrame, axes: list[str], node: str = "node", kernel: str | list[tuple[int, ...]] = "2D-4n", shape: list[int] | None = None) -> DataFrame:
+    """Edges between cells that are neighbours by the kernel, in both directions.
+
+    Each cell proposes its neighbours' coordinates, and a join keeps those that are cells. With ``shape`` the lattice
+    wraps around.
+    """
+    offsets = KERNELS[kernel] if isinstance(kernel, str) else kernel
+    steps = F.array(*[F.struct(*[F.lit(o).alias(a) for a, o in zip(axes, off, strict=True)]) for off in offsets])
+    near = cells.select(F.col(node).alias("src"), *axes, F.explode(steps).alias("o"))
+    place = [F.col(a) + F.col(f"o.{a}") for a in axes]
+    if shape:
+        place = [F.pmod(p, F.lit(n)) for p, n in zip(place, shape, strict=True)]
+    near = near.select("src", *[p.alias(a) for p, a in zip(place, axes, strict=True)])
+    out = near.join(cells.select(F.col(node).alias("dst"), *axes), axes).select("src", "dst").filter("src <> dst")
+    return out.distinct() if shape else out
+
+
+def mesh_edges(triangles: DataFrame) -> DataFrame:
+    """Edges of the triangles (a, b, c), in both directions."""
+    pairs = F.array(*[F.struct(F.col(x).alias("src"), F.col(y).alias("dst")) for x in "abc" for y in "abc" if x != y])
+    return triangles.select(F.explode(pairs).alias("e")).select("e.src", "e.dst").distinct()
+
+
+def is_sane(edges: DataFrame, constant_degree: bool = False) -> bool:
+    """Symmetric, without repeated edges or loops, and of one degree if asked."""
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    ok = edges.join(back, ["src", "dst"], "left_anti").isEmpty() and edges.filter("src = dst").isEmpty()
+    ok = ok and edges.groupBy("src", "dst").count().filter("count > 1").isEmpty()
+    if ok and constant_degree:
+        ok = edges.groupBy("src").count().select("count").distinct().count() <= 1
+    return ok
+
+
+def neighbour_sum(edges: DataFrame, values: DataFrame, node: str = "node", value: str = "value") -> DataFrame:
+    """Sum of each node's neighbours' values; 0 for nodes without neighbours."""
+    near = edges.join(values.select(F.col(node).alias("dst"), F.col(value).alias("_v")), "dst").groupBy("src").agg(F.sum("_v").alias("_s"))
+    return values.select(node).join(near, F.col(node) == F.col("src"), "left").select(node, F.coalesce("_s", F.lit(0)).alias("neighbour_sum"))
+
+
+def homo_cliques(edges: DataFrame, labels: DataFrame, node: str = "node", label: str = "label", weight: str | None = None) -> DataFrame:
+    """One row: (weighted) number of edges whose ends have equal labels; ``edges`` holds both directions."""
+    a = labels.select(F.col(node).alias("src"), F.col(label).alias("_a"))
+    b = labels.select(F.col(node).alias("dst"), F.col(label).alias("_b"))
+    hit = F.when(F.col("_a") == F.col("_b"), F.col(weight) if weight else F.lit(1)).otherwise(0)
+    return edges.join(a, "src").join(b, "dst").agg((F.coalesce(F.sum(hit), F.lit(0)) / 2).alias("cliques"))
+
+
+def n_cliques(edges: DataFrame) -> DataFrame:
+    return edges.agg((F.count(F.lit(1)) / 2).alias("cliques"))
+
+
+def sub_graph(edges: DataFrame, nodes: DataFrame, node: str = "node") -> DataFrame:
+    """Edges with both ends among ``nodes``."""
+    ends = nodes.select(node).distinct()
+    return edges.join(ends.withColumnRenamed(node, "src"), "src", "left_semi").join(ends.withColumnRenamed(node, "dst"), "dst", "left_semi").select("src", "dst")
+
+
+def parcel_edges(edges: DataFrame, parcels: DataFrame, node: str = "node", parcel: str = "parcel") -> DataFrame:
+    """(parcel, src, dst): edges inside a parcel."""
+    a = parcels.select(F.col(node).alias("src"), F.col(parcel).alias("parcel"))
+    b = parcels.select(F.col(node).alias("dst"), F.col(parcel).alias("_b"))
+    return edges.join(a, "src").join(b, "dst").filter("parcel = _b").select("parcel", "src", "dst")
+
+
+def breadth_first(edges: DataFrame, roots: DataFrame, max_depth: int | None = None, node: str = "node") -> DataFrame:
+    """(node, depth) of all nodes within ``max_depth`` steps of a root; the frontier alone is joined each round."""
+    ensure_checkpoint_dir(edges.sparkSession)
+    found = roots.select(F.col(node).alias("node")).distinct().withColumn("depth", F.lit(0)).checkpoint()
+    frontier, depth = found, 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        step = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        frontier = step.join(found, "node", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        if frontier.isEmpty():
+            break
+        found = found.union(frontier).checkpoint()
+    return found
+
+
+def components_within(edges: DataFrame, labels: DataFrame, min_size: int = 0, node: str = "node", label: str = "label") -> DataFrame:
+    """(node, component): components of the edges inside each label, of ``min_size`` nodes at least."""
+    inside = parcel_edges(edges, labels.withColumnRenamed(label, "parcel") if label != "parcel" else labels, node)
+    out = connected_components(inside.select("src", "dst"), labels.select(F.col(node).alias("node")))
+    sizes = out.groupBy("component").count().filter(F.col("count") >= min_size).select("component")
+    return out.join(sizes, "component").select("node", "component")
+
+
+def eroded(cells: DataFrame, axes: list[str]) -> DataFrame:
+    """Cells of a volume that have all their neighbours (8 in the plane, 26 in space)."""
+    kernel = KERNELS["2D-8n" if len(axes) == 2 else "3D-26n"]
+    named = cells.select(*axes).withColumn("node", F.struct(*axes))
+    full = lattice_edges(named, axes, "node", kernel).groupBy("src").count().filter(F.col("count") == len(kernel))
+    return named.join(full, F.col("node") == F.col("src"), "left_semi").select(*axes)
+
+
+def mesh_contour(triangles: DataFrame, labels: DataFrame, node: str = "node", label: str = "label") -> DataFrame:
+    """Triangles whose corners have different labels."""
+    out = triangles
+    for c in "abc":
+        out = out.join(labels.select(F.col(node).alias(c), F.col(label).alias(f"_{c}")), c)
+    return out.filter("_a <> _b OR _b <> _c").select(*triangles.columns)

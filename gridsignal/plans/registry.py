@@ -40,3 +40,6 @@ def axis_mean_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = df.select("l_returnflag").distinct().crossJoin(df.select("l_linestatus").distinct())
     out = grid.join(cells, ["l_returnflag", "l_linestatus"], "left")
     return out.select("l_returnflag", "l_linestatus", F.round(F.coalesce("m", F.lit(0.0)), 4).alias("mean_qty"), F.round(F.coalesce("s", F.lit(0.0)), 4).alias("std_qty"))
+
+
+from gridsignal.plans import array_queries, event_queries, graph_queries  # noqa: E402, F401
