@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 
 from gridsignal.llm import jaccard, mixing, packing, substrings, toxicity
 from gridsignal.llm.labelled import fold
+from gridsignal.session import written
 
+#: Ids that are sent to all tasks at most (8 MB); more are joined by shuffling both sides.
+BROADCAST_ROWS = 1_000_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -29,9 +32,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each group linked by shingles (five words, similarity 0.8) the document with the smallest id stays."""
     found = jaccard.similarity_components(docs, n=5, p=4, q=5)
     # rows without an id stay; rows that share an id stay or go together
-    keep = found.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.select(*COLUMNS).join(keep, F.col("doc_id") == F.col("_id"), "left_semi")
-    return kept.unionByName(docs.select(*COLUMNS).filter(F.col("doc_id").isNull()))
+    gone = written(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

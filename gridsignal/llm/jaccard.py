@@ -10,8 +10,8 @@ empty parts share one more signature among them, so no pair is lost.
 
 Work is done on one set for each text: copies are grouped first and only carry their group's component. Signatures that
 no other set has are filtered out by the sketch (see ``parts``). Then
-  1. in each signature's group the set with most shared signatures is the centre; each set is compared with its centres,
-     which is linear in a group's size, and links give components;
+  1. in each signature's group the set with most shared signatures is the centre; each set is compared with the centre
+     that it shares most signatures with, which is one pair a set, and links give components;
   2. sets that hang together by shared signatures make a cluster; only where a cluster still spans several components,
      sets outside its largest one are compared with the rest, in blocks of bounded size: first on the parts' numbers
      and sizes, whose differences bound d from below, then exactly.
@@ -37,16 +37,18 @@ from pyspark.sql import functions as F
 from gridsignal.llm.parts import MESSAGE, Sketch, in_parts, merge_sketches, part_count, squeeze_sorted, table, unsqueeze_sorted
 from gridsignal.llm.text import Words, mixed, ngrams, same_row
 from gridsignal.operators.graph import connected_components
-from gridsignal.session import ensure_checkpoint_dir
+from gridsignal.session import written
 
 SHINGLE, NUMERATOR, DENOMINATOR = 4, 85, 100
 SKETCH = 0
 #: A set has hundreds of signatures: so few false alarms each that most sets have none.
-SKETCH_WIDTH, SKETCH_DEPTH = 1 << 24, 3
+SKETCH_WIDTH, SKETCH_DEPTH = 1 << 26, 2
 PART_SEED, SUM_SEED, SPARSE = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
 NO_ID = (1 << 63) - 1
+#: Numbers of sets that are sent to all tasks at most (8 MB).
+BROADCAST_ROWS = 1_000_000
 #: Sets of a block in the second comparison.
-BLOCK = 512
+BLOCK = 1024
 
 
 @lru_cache
@@ -217,9 +219,16 @@ def linked(a: np.ndarray, b: np.ndarray, p: int, q: int) -> bool:
     return q * common >= p * (len(a) + len(b) - common)
 
 
-def verified(pairs: DataFrame, base: DataFrame, p: int, q: int) -> DataFrame:
-    """The pairs (src, dst) of set numbers whose sets are linked."""
+def verified(pairs: DataFrame, base: DataFrame, p: int, q: int, sparse: bool = False) -> DataFrame:
+    """The pairs (src, dst) of set numbers whose sets are linked.
+
+    ``sparse``: the pairs name few of the sets. If these are few enough to be sent to all tasks, only they are shuffled.
+    """
     sets = base.filter(F.col("shingles").isNotNull()).select(F.col("set").alias("_set"), "size", "shingles")
+    if sparse:
+        named = pairs.select(F.col("src").alias("_set")).union(pairs.select("dst")).distinct()
+        if named.count() <= BROADCAST_ROWS:
+            sets = sets.join(F.broadcast(named), "_set", "left_semi")
     both = pairs.join(sets, F.col("src") == F.col("_set")).select("src", "dst", F.col("size").alias("n1"), F.col("shingles").alias("s1"))
     both = both.join(sets, F.col("dst") == F.col("_set")).select("src", "dst", "n1", "s1", F.col("size").alias("n2"), F.col("shingles").alias("s2"))
     # one size rules the other out before the sets are opened
@@ -253,40 +262,38 @@ def least_difference(numbers: np.ndarray, counts: np.ndarray, others: np.ndarray
 def remaining_pairs(members: DataFrame, p: int, q: int) -> DataFrame:
     """Pairs of sets of different components of a cluster that may be linked.
 
-    ``members``: cluster, set, size, band, component, minor (not of the cluster's largest component), profile0, profile1.
-    Clusters are cut into blocks; each pair of blocks is one unit of work, several units make a task. Sets that share
-    no signature differ in every part, so the bound rules them out too.
+    ``members``: cluster, set, size, band, component, profile0, profile1. An instance serves its own band by the first
+    profile and the band before by the second; two sets of one band meet in their own instance only. Where a cluster's
+    sets of an instance lie in several components, those outside the largest are compared with all others, in pairs of
+    blocks; each pair of blocks is one unit of work, several units make a task. Sets that share no signature differ in
+    every part, so the bound rules them out too.
     """
-    count = members.groupBy("cluster").agg((F.floor(F.sum(F.col("minor").cast("int")) / BLOCK) + 1).cast("int").alias("lefts"), (F.floor(F.count(F.lit(1)) / BLOCK) + 1).cast("int").alias("rights"))
-    members = members.join(count, "cluster")
+    slots = F.array(F.struct(F.col("band").alias("inst"), F.lit(True).alias("own"), F.col("profile0").alias("profile")), F.struct((F.col("band") + 1).alias("inst"), F.lit(False).alias("own"), F.col("profile1").alias("profile")))
+    members = members.select("cluster", "set", "size", "component", F.explode(slots).alias("s")).select("cluster", "s.inst", "set", "size", "component", "s.own", "s.profile").filter("profile IS NOT NULL")
+    group = ["cluster", "inst"]
+    kinds = members.groupBy(*group, "component").agg(F.count(F.lit(1)).alias("m"))
+    split = kinds.groupBy(*group).agg(F.count(F.lit(1)).alias("kinds"), F.sum("m").alias("all"), F.max(F.struct("m", "component")).alias("largest")).filter("kinds > 1")
+    blocks = lambda n: (F.floor(n / BLOCK) + 1).cast("int")
+    split = split.select(*group, F.col("largest.component").alias("major"), blocks(F.col("all") - F.col("largest.m")).alias("lefts"), blocks(F.col("all")).alias("rights"))
+    members = members.join(split, group)
     block = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), F.col("set")), F.col(n)).cast("int")
-    left = members.filter("minor").withColumn("lb", block("lefts", 1)).withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("rights") - 1))).withColumn("left", F.lit(True))
+    left = members.filter("component <> major").withColumn("lb", block("lefts", 1)).withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("rights") - 1))).withColumn("left", F.lit(True))
     right = members.withColumn("rb", block("rights", 2)).withColumn("lb", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1))).withColumn("left", F.lit(False))
-    units = left.unionByName(right).withColumn("unit", F.xxhash64("cluster", "lb", "rb")).select("unit", "set", "size", "band", "component", "left", "profile0", "profile1")
+    units = left.unionByName(right).withColumn("unit", F.xxhash64(*group, "lb", "rb")).select("unit", "set", "size", "component", "left", "own", "profile")
 
     def work(unit: pa.Table) -> pa.RecordBatch:
-        ids, size, band, comp, on_left = (unit.column(c).to_numpy() for c in ("set", "size", "band", "component", "left"))
-        profiles = [unit.column(c).to_pylist() for c in ("profile0", "profile1")]
+        ids, size, comp, on_left, own = (unit.column(c).to_numpy() for c in ("set", "size", "component", "left", "own"))
+        grid = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in unit.column("profile")])
+        half = grid.shape[1] // 2
         src, dst = [], []
-        # an instance serves its own band by the first profile and the band before by the second; two sets of one band
-        # meet in their own instance only
-        for j in np.unique(np.concatenate([band, band + 1])):
-            own = [i for i in np.flatnonzero(band == j) if profiles[0][i] is not None]
-            before = [i for i in np.flatnonzero(band == j - 1) if profiles[1][i] is not None]
-            at = np.array(own + before, np.int64)
-            if not len(own):
-                continue
-            grid = np.stack([np.frombuffer(x, np.uint8) for x in [*(profiles[0][i] for i in own), *(profiles[1][i] for i in before)]])
-            half, first = grid.shape[1] // 2, np.arange(len(at)) < len(own)
-            for k in np.flatnonzero(on_left[at]):
-                i = at[k]
-                fits = ~on_left[at] & (comp[at] != comp[i]) & (q * np.minimum(size[at], size[i]) >= p * np.maximum(size[at], size[i]))
-                other = np.flatnonzero(fits if first[k] else fits & first)
-                if len(other):
-                    low = least_difference(grid[k, :half], grid[k, half:], grid[other, :half], grid[other, half:])
-                    other = at[other[low * (p + q) <= (q - p) * (size[at[other]] + size[i])]]
-                    src.append(np.full(len(other), ids[i]))
-                    dst.append(ids[other])
+        for i in np.flatnonzero(on_left):
+            fits = ~on_left & (comp != comp[i]) & (q * np.minimum(size, size[i]) >= p * np.maximum(size, size[i]))
+            other = np.flatnonzero(fits if own[i] else fits & own)
+            if len(other):
+                low = least_difference(grid[i, :half], grid[i, half:], grid[other, :half], grid[other, half:])
+                other = other[low * (p + q) <= (q - p) * (size[other] + size[i])]
+                src.append(np.full(len(other), ids[i]))
+                dst.append(ids[other])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (src, dst))
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b), pa.int64()), pa.array(np.minimum(a, b), pa.int64())], ["src", "dst"])
 
@@ -311,27 +318,24 @@ def remaining_pairs(members: DataFrame, p: int, q: int) -> DataFrame:
 
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, p: int = NUMERATOR, q: int = DENOMINATOR) -> DataFrame:
     """One row for each row of ``docs``: id_col, n_shingles, component_id."""
-    spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("copy_of", F.md5("text"))
     base = signature_table(docs, "text", n, p, q)
     # numbered by id and digest, which name a text even where ids repeat
-    base = base.withColumn("set", F.xxhash64("id", "copy_of")).checkpoint()
+    base = written(base.withColumn("set", F.xxhash64("id", "copy_of")))
     rank = F.size("sigs0") + F.size("sigs1")
     sigs = base.filter(rank > 0).select("set", rank.alias("rank"), F.explode(F.concat("sigs0", "sigs1")).alias("sig"))
     groups = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("members"), F.max(F.struct("rank", "set")).alias("c")).filter("members > 1").select("sig", F.col("c.set").alias("centre"))
-    stars = sigs.join(groups, "sig").filter("set <> centre").select(F.col("set").alias("src"), F.col("centre").alias("dst")).distinct().checkpoint()
-    links = verified(stars, base, p, q).checkpoint()
+    stars = written(sigs.join(groups, "sig").filter("set <> centre").groupBy(F.col("set").alias("src"), F.col("centre").alias("dst")).agg(F.count(F.lit(1)).alias("shared")))
+    nearest = stars.groupBy("src").agg(F.max_by("dst", F.struct("shared", -F.col("dst"))).alias("dst"))
+    links = written(verified(nearest, base, p, q))
     # a cluster: sets that hang together by shared signatures, linked or not
-    clusters = connected_components(stars).withColumnRenamed("component", "cluster")
+    clusters = connected_components(stars.select("src", "dst")).withColumnRenamed("component", "cluster")
     found = connected_components(links).withColumnRenamed("node", "_node")
     placed = clusters.join(found, F.col("node") == F.col("_node"), "left").select("cluster", F.col("node").alias("set"), F.coalesce("component", "node").alias("component"))
-    sizes = placed.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("m"))
-    split = sizes.groupBy("cluster").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.struct("m", "component"))["component"].alias("major")).filter("kinds > 1").drop("kinds")
     profile = base.filter(F.col("shingles").isNotNull()).select("set", "size", "band", "profile0", "profile1")
-    members = placed.join(split, "cluster").withColumn("minor", F.col("component") != F.col("major")).drop("major").join(profile, "set")
-    more = verified(remaining_pairs(members, p, q), base, p, q)
+    members = placed.join(profile, "set")
+    more = verified(written(remaining_pairs(members, p, q)), base, p, q, sparse=True)
     final = connected_components(links.union(more))
     sets = base.select("set", "id", "copy_of", "size").join(final, F.col("set") == F.col("node"), "left").withColumn("group", F.coalesce("component", "set"))
     least = sets.groupBy("group").agg(F.min("id").alias("component_id"))
