@@ -47,6 +47,8 @@ PART_SEED, SUM_SEED, SPARSE = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C6
 NO_ID = (1 << 63) - 1
 #: Numbers of sets that are sent to all tasks at most (8 MB).
 BROADCAST_ROWS = 1_000_000
+#: Shingles that a task keeps unpacked, about.
+OPEN_SHINGLES = 4_000_000
 #: Sets of a block in the second comparison.
 BLOCK = 1024
 
@@ -219,16 +221,9 @@ def linked(a: np.ndarray, b: np.ndarray, p: int, q: int) -> bool:
     return q * common >= p * (len(a) + len(b) - common)
 
 
-def verified(pairs: DataFrame, base: DataFrame, p: int, q: int, sparse: bool = False) -> DataFrame:
-    """The pairs (src, dst) of set numbers whose sets are linked.
-
-    ``sparse``: the pairs name few of the sets. If these are few enough to be sent to all tasks, only they are shuffled.
-    """
+def verified(pairs: DataFrame, base: DataFrame, p: int, q: int) -> DataFrame:
+    """The pairs (src, dst) of set numbers whose sets are linked."""
     sets = base.filter(F.col("shingles").isNotNull()).select(F.col("set").alias("_set"), "size", "shingles")
-    if sparse:
-        named = pairs.select(F.col("src").alias("_set")).union(pairs.select("dst")).distinct()
-        if named.count() <= BROADCAST_ROWS:
-            sets = sets.join(F.broadcast(named), "_set", "left_semi")
     both = pairs.join(sets, F.col("src") == F.col("_set")).select("src", "dst", F.col("size").alias("n1"), F.col("shingles").alias("s1"))
     both = both.join(sets, F.col("dst") == F.col("_set")).select("src", "dst", "n1", "s1", F.col("size").alias("n2"), F.col("shingles").alias("s2"))
     # one size rules the other out before the sets are opened
@@ -259,14 +254,56 @@ def least_difference(numbers: np.ndarray, counts: np.ndarray, others: np.ndarray
     return np.where(differ, small, 0).sum(1)
 
 
-def remaining_pairs(members: DataFrame, p: int, q: int) -> DataFrame:
-    """Pairs of sets of different components of a cluster that may be linked.
+def by_unit(rows: DataFrame, work, schema: str) -> DataFrame:
+    """Apply ``work`` (a table of one unit's rows -> a record batch) to each unit; a task takes many units in turn."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        current = None
+        for batch in batches:
+            unit = batch.column("unit").to_numpy()
+            edges = [0, *(np.flatnonzero(unit[1:] != unit[:-1]) + 1).tolist(), len(unit)]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if hi > lo:
+                    if unit[lo] != current and held:
+                        yield work(pa.Table.from_batches(held))
+                        held.clear()
+                    current = unit[lo]
+                    held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield work(pa.Table.from_batches(held))
+
+    return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, schema)
+
+
+class Unit:
+    """One unit of the second comparison: sets on the left are compared with sets on the right of other components."""
+
+    def __init__(self, rows: pa.Table, p: int, q: int):
+        self.p, self.q = p, q
+        self.ids, self.size, self.comp, self.on_left, self.own = (rows.column(c).to_numpy() for c in ("set", "size", "component", "left", "own"))
+        grid = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in rows.column("profile")])
+        self.numbers, self.counts = grid[:, : grid.shape[1] // 2], grid[:, grid.shape[1] // 2 :]
+
+    def partners(self, i: int) -> np.ndarray:
+        """Rows that the bound does not rule out for the left row ``i``."""
+        fits = ~self.on_left & (self.comp != self.comp[i]) & (self.q * np.minimum(self.size, self.size[i]) >= self.p * np.maximum(self.size, self.size[i]))
+        other = np.flatnonzero(fits if self.own[i] else fits & self.own)
+        if len(other):
+            low = least_difference(self.numbers[i], self.counts[i], self.numbers[other], self.counts[other])
+            other = other[low * (self.p + self.q) <= (self.q - self.p) * (self.size[other] + self.size[i])]
+        return other
+
+
+def remaining_links(members: DataFrame, base: DataFrame, p: int, q: int) -> DataFrame:
+    """Links (src, dst) that join sets of different components of a cluster; enough of them to join all that are linked.
 
     ``members``: cluster, set, size, band, component, profile0, profile1. An instance serves its own band by the first
     profile and the band before by the second; two sets of one band meet in their own instance only. Where a cluster's
     sets of an instance lie in several components, those outside the largest are compared with all others, in pairs of
-    blocks; each pair of blocks is one unit of work, several units make a task. Sets that share no signature differ in
-    every part, so the bound rules them out too.
+    blocks; each pair of blocks is one unit of work. Sets that share no signature differ in every part, so the bound
+    rules them out too. A first pass finds the sets that some partner is left for; only these sets' shingles move, and
+    a second pass compares them exactly, pairs already joined inside the unit left out.
     """
     slots = F.array(F.struct(F.col("band").alias("inst"), F.lit(True).alias("own"), F.col("profile0").alias("profile")), F.struct((F.col("band") + 1).alias("inst"), F.lit(False).alias("own"), F.col("profile1").alias("profile")))
     members = members.select("cluster", "set", "size", "component", F.explode(slots).alias("s")).select("cluster", "s.inst", "set", "size", "component", "s.own", "s.profile").filter("profile IS NOT NULL")
@@ -281,39 +318,54 @@ def remaining_pairs(members: DataFrame, p: int, q: int) -> DataFrame:
     right = members.withColumn("rb", block("rights", 2)).withColumn("lb", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1))).withColumn("left", F.lit(False))
     units = left.unionByName(right).withColumn("unit", F.xxhash64(*group, "lb", "rb")).select("unit", "set", "size", "component", "left", "own", "profile")
 
-    def work(unit: pa.Table) -> pa.RecordBatch:
-        ids, size, comp, on_left, own = (unit.column(c).to_numpy() for c in ("set", "size", "component", "left", "own"))
-        grid = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in unit.column("profile")])
-        half = grid.shape[1] // 2
-        src, dst = [], []
-        for i in np.flatnonzero(on_left):
-            fits = ~on_left & (comp != comp[i]) & (q * np.minimum(size, size[i]) >= p * np.maximum(size, size[i]))
-            other = np.flatnonzero(fits if own[i] else fits & own)
-            if len(other):
-                low = least_difference(grid[i, :half], grid[i, half:], grid[other, :half], grid[other, half:])
-                other = other[low * (p + q) <= (q - p) * (size[other] + size[i])]
-                src.append(np.full(len(other), ids[i]))
-                dst.append(ids[other])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (src, dst))
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b), pa.int64()), pa.array(np.minimum(a, b), pa.int64())], ["src", "dst"])
+    def find(rows: pa.Table) -> pa.RecordBatch:
+        unit = Unit(rows, p, q)
+        keep = np.zeros(len(unit.ids), bool)
+        for i in np.flatnonzero(unit.on_left):
+            other = unit.partners(i)
+            keep[other] = True
+            keep[i] = len(other) > 0
+        return pa.concat_batches(rows.to_batches()).filter(pa.array(keep))
+
+    def compare(rows: pa.Table) -> pa.RecordBatch:
+        unit = Unit(rows, p, q)
+        blobs, opened, held = rows.column("shingles"), {}, 0
+
+        def shingles_of(i: int) -> np.ndarray:
+            nonlocal held
+            if i not in opened:
+                if held > OPEN_SHINGLES:
+                    opened.clear()
+                    held = 0
+                opened[i] = unsqueeze_sorted(blobs[i].as_py(), int(unit.size[i]), np.uint64)
+                held += len(opened[i])
+            return opened[i]
+
+        root = {c: c for c in unit.comp.tolist()}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        current = None
-        for batch in batches:
-            unit = batch.column("unit").to_numpy()
-            edges = [0, *(np.flatnonzero(unit[1:] != unit[:-1]) + 1).tolist(), len(unit)]
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                if hi > lo:
-                    if unit[lo] != current and held:
-                        yield work(pa.Table.from_batches(held))
-                        held.clear()
-                    current = unit[lo]
-                    held.append(batch.slice(lo, hi - lo))
-        if held:
-            yield work(pa.Table.from_batches(held))
-
-    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(compare, "src long, dst long").distinct()
+        src, dst = [], []
+        for i in np.flatnonzero(unit.on_left):
+            for j in unit.partners(i):
+                a, b = top(int(unit.comp[i])), top(int(unit.comp[j]))
+                if a != b and linked(shingles_of(int(i)), shingles_of(int(j)), p, q):
+                    root[a] = b
+                    src.append(max(unit.ids[i], unit.ids[j]))
+                    dst.append(min(unit.ids[i], unit.ids[j]))
+        return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+
+    fields = "unit long, set long, size long, component long, left boolean, own boolean, profile binary"
+    left_over = written(by_unit(units, find, fields))
+    named = left_over.select("set").distinct()
+    shingles = base.filter(F.col("shingles").isNotNull()).select("set", "shingles")
+    if named.count() <= BROADCAST_ROWS:
+        shingles = shingles.join(F.broadcast(named), "set", "left_semi")
+    return by_unit(left_over.join(shingles, "set"), compare, "src long, dst long").distinct()
 
 
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, p: int = NUMERATOR, q: int = DENOMINATOR) -> DataFrame:
@@ -335,7 +387,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     placed = clusters.join(found, F.col("node") == F.col("_node"), "left").select("cluster", F.col("node").alias("set"), F.coalesce("component", "node").alias("component"))
     profile = base.filter(F.col("shingles").isNotNull()).select("set", "size", "band", "profile0", "profile1")
     members = placed.join(profile, "set")
-    more = verified(written(remaining_pairs(members, p, q)), base, p, q, sparse=True)
+    more = remaining_links(members, base, p, q)
     final = connected_components(links.union(more))
     sets = base.select("set", "id", "copy_of", "size").join(final, F.col("set") == F.col("node"), "left").withColumn("group", F.coalesce("component", "set"))
     least = sets.groupBy("group").agg(F.min("id").alias("component_id"))
