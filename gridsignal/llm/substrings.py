@@ -26,6 +26,8 @@ from gridsignal.llm.parts import MESSAGE, Sketch, in_parts, joined_bits, merge_s
 from gridsignal.llm.text import Words, mixed, ngrams, same_row
 
 WINDOW = 35
+#: Bytes of text in a part: a window has two numbers and two places in the sketch, so parts are smaller than elsewhere.
+WINDOW_PART_BYTES = 6 << 20
 SKETCH, EXACT, MASK = 0, 4, 5
 SECOND = np.uint64(0xD6E8FEB86659FD93)
 
@@ -96,7 +98,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", key: tuple[str, ...]
     ``key``: columns whose hash deals rows to parts; any choice gives the same result.
     """
     docs = docs.drop("part", "n_words", "n_removed", "kept_text")
-    n = part_count(docs, text_col)
+    n = part_count(docs, text_col, WINDOW_PART_BYTES)
     parted = in_parts(docs, n, *key, text_col)
 
     def part_of(data: pa.Table) -> int:
