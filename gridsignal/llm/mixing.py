@@ -11,7 +11,7 @@ are summed in hashed groups, and draws meet documents on (source, block).
 
 Defined results: a null text has no words and is never taken; null is a source of its own, last in order; a source
 without words has target 0; repeated rows are separate documents; an empty table gives no rows; extra columns are
-carried along unless their names begin with an underscore.
+carried along.
 """
 
 from __future__ import annotations
@@ -191,23 +191,25 @@ def mixed_documents(docs: DataFrame, weights: list[float], share: float, max_epo
     there, is that text's length. Within a task rows lie in the shards' shuffled order.
     """
     ensure_checkpoint_dir(docs.sparkSession)
-    rows = docs.withColumn("row_key", F.xxhash64("doc_id", "text", "source"))
-    sizes = rows.select("doc_id", "row_key", "source", word_count(F.col("text")).alias("size")).checkpoint()
+    key = F.xxhash64("doc_id", "text", "source").alias("row_key")
+    # the documents' own columns travel in one, so that their names can't clash
+    rows = docs.select(key, F.struct(*docs.columns).alias("doc"))
+    sizes = docs.select(key, "source", word_count(F.col("text")).alias("size")).checkpoint()
     if not sizes.groupBy("row_key").count().filter("count > 1").isEmpty():
         # rows repeated in full are told apart by their number among equals
-        again = Window.partitionBy("row_key").orderBy("doc_id")
+        again = Window.partitionBy("row_key").orderBy(F.lit(0))
         number = lambda df: df.withColumn("row_key", F.xxhash64("row_key", F.row_number().over(again)))
         rows, sizes = number(rows), number(sizes).checkpoint()
     pieces = mix(sizes, weights, share, max_epochs, n_shards, seed)[1]
     first = [F.min_by(c, "start").alias(c) for c in ("shard", "place")]
     spans = pieces.groupBy("row_key", "epoch").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("spans"), F.sum("length").alias("taken"), *first)
     spans = spans.join(sizes.select("row_key", "size"), "row_key")
-    words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
+    words = F.regexp_extract_all("doc.text", F.lit(f"({WORD})"), F.lit(1))
     some = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(words, s["start"].cast("int") + 1, s["length"].cast("int")))), " ")
-    out = rows.join(spans, "row_key").withColumn("text", F.when(F.col("taken") == F.col("size"), F.col("text")).otherwise(some))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.sortWithinPartitions("shard", "place").select(*docs.columns)
+    out = rows.join(spans, "row_key").withColumn("new_text", F.when(F.col("taken") == F.col("size"), F.col("doc.text")).otherwise(some))
+    changed = {"text": F.col("new_text"), "n_chars": F.length("new_text").cast("long")}
+    out = out.sortWithinPartitions("shard", "place")
+    return out.select(*[changed.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

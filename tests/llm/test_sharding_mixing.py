@@ -91,9 +91,9 @@ def test_shard_quotas_add_up_and_draws_are_disjoint(spark):
 def test_empty_table_and_documents(spark, docs, no_docs):
     sizes = no_docs.selectExpr("doc_id AS row_key", "source", "n_chars AS size")
     assert mixing.mix(sizes, [1.0], 1.5)[1].isEmpty()
-    few = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    few = docs
     out = mixing.mixed_documents(few, [3.0, 1.0, 2.0], 1.5)
-    assert out.columns == few.columns
+    assert out.columns == few.columns and mixing.mixed_documents(no_docs, [1.0], 1.5).isEmpty()
     words = out.select(F.sum(mixing.word_count(F.col("text")))).first()[0]
     total = few.select(F.sum(mixing.word_count(F.col("text")))).first()[0]
     assert words == pytest.approx(1.5 * total, rel=0.02)
