@@ -167,3 +167,15 @@ def op1_count_min_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_count_min_substrings": op1_count_min_substrings}
+ORACLES = {
+    "op1_count_min_substrings": r"""
+    WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+         p AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d),
+         k AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS window_text FROM p),
+         r AS (SELECT doc_id, i FROM k QUALIFY count(*) OVER (PARTITION BY window_text) > 1),
+         c AS (SELECT DISTINCT doc_id, i + o AS j FROM r, range(35) t(o)),
+         e AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS j FROM d),
+         kept AS (SELECT e.doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY e.j) AS t FROM e ANTI JOIN c ON e.doc_id = c.doc_id AND e.j = c.j GROUP BY 1)
+    SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+    """
+}
