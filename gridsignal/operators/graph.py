@@ -18,29 +18,46 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return pairs.union(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
+#: A node with more than this share of all edges counts as heavy.
+HEAVY_SHARE = 1 / 200
+
+
+def with_least(edges: DataFrame, heavy: float) -> DataFrame:
+    """``edges`` with ``m``, the least of each src's dst and itself.
+
+    Nodes with more than ``heavy`` edges, of which there are few by the choice of it, are sent to all tasks; so their
+    edges stay where they are, and the shuffled join has only nodes of fewer edges.
+    """
+    least = edges.groupBy("src").agg(F.min("dst").alias("m"), F.count(F.lit(1)).alias("n")).select("src", F.least("src", "m").alias("m"), "n")
+    hubs = least.filter(F.col("n") > heavy).select("src", F.col("m").alias("hub_m"))
+    marked = edges.join(F.broadcast(hubs), "src", "left")
+    rest = marked.filter(F.col("hub_m").isNull()).select("src", "dst").join(least.filter(F.col("n") <= heavy).select("src", "m"), "src")
+    return rest.select("src", "dst", "m").union(marked.filter(F.col("hub_m").isNotNull()).select("src", "dst", F.col("hub_m").alias("m")))
+
+
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 50) -> DataFrame:
     """``(node, component)``: the smallest node reachable from each node, itself included.
 
     Large-star and small-star steps (Kiveris et al., 2014) hang each node on the smallest of its neighbourhood until
     the edges are stars; the number of rounds grows with the logarithm of the longest path. ``nodes`` (column ``node``)
-    adds nodes without edges. Null ends are ignored.
+    adds nodes without edges. Null ends are ignored. Heavy nodes (``HEAVY_SHARE``, so at most 400) are dealt with apart.
     """
     ensure_checkpoint_dir(edges.sparkSession)
     low, high = F.least("src", "dst"), F.greatest("src", "dst")
     # oriented: src is the larger end
     now = edges.filter(F.col("src") != F.col("dst")).select(high.alias("src"), low.alias("dst")).distinct().checkpoint()
     state = None
+    heavy = max(1000, now.count() * HEAVY_SHARE)
     for _ in range(max_rounds):
         sides = now.union(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        least = sides.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
-        large = sides.join(least, "src").filter(F.col("dst") > F.col("src")).select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct()
-        least = large.groupBy("src").agg(F.min("dst").alias("m"))
-        joined = large.join(least, "src")
+        large = with_least(sides, heavy).filter(F.col("dst") > F.col("src")).select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct()
+        joined = with_least(large, heavy)
         small = joined.filter(F.col("dst") != F.col("m")).select(F.col("dst").alias("src"), F.col("m").alias("dst")).union(joined.select("src", F.col("m").alias("dst")))
         now = small.filter(F.col("src") != F.col("dst")).distinct().checkpoint()
         before, state = state, now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
         if before == state:
             break
+        heavy = max(1000, state[0] * HEAVY_SHARE)
     stars = now.select(F.col("src").alias("node"), F.col("dst").alias("component"))
     out = stars.union(stars.select(F.col("component").alias("node"), "component")).distinct()
     if nodes is None:

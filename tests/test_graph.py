@@ -13,3 +13,12 @@ def test_isolated_nodes_and_empty_graph(spark):
     edges = spark.createDataFrame([], "src long, dst long")
     nodes = spark.createDataFrame([(5,), (6,)], "node long")
     assert sorted(map(tuple, connected_components(edges, nodes).collect())) == [(5, 5), (6, 6)]
+
+
+def test_heavy_nodes_are_dealt_with_apart(spark):
+    hub = [(5, k) for k in range(10, 1600)] + [(2000, k) for k in range(2001, 3500)]
+    edges = hub + [(3, 40), (1700, 1701), (1701, 1702), (3499, 4000)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert {got[k] for k in (3, 5, *range(10, 1600))} == {3}
+    assert {got[k] for k in (*range(2000, 3500), 4000)} == {2000}
+    assert {got[k] for k in (1700, 1701, 1702)} == {1700}
