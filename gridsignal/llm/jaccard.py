@@ -9,7 +9,10 @@ with a chance of 1e-7; then an agreeing part with elements exists and empty part
 empty parts share one more signature among them, so no pair is lost.
 
 Work is done on one set for each text: copies are grouped first and only carry their group's component. Signatures that
-no other set has are filtered out by the sketch (see ``parts``). Then
+that no other set has are filtered out by the sketch (see ``parts``). Two linked sets agree on P - k parts, so on
+P - k - (its empty parts) that aren't empty, for either of the two; a set may thus leave out its most frequent signatures, one less
+than that, and linked sets still share one (prefix filtering). So passages that many texts have draw no texts together
+that share little else. Then
   1. in each signature's group the set with most shared signatures is the centre; each set is compared with the centre
      that it shares most signatures with, which is one pair a set, and links give components;
   2. sets that hang together by shared signatures make a cluster; only where a cluster still spans several components,
@@ -50,7 +53,7 @@ BROADCAST_ROWS = 1_000_000
 #: Shingles that a task keeps unpacked, about.
 OPEN_SHINGLES = 4_000_000
 #: Sets of a block in the second comparison.
-BLOCK = 1024
+BLOCK = 4096
 
 
 @lru_cache
@@ -113,7 +116,7 @@ class Signatures:
         place[self.rows] = np.arange(len(self.rows))
         row = place[sets.doc]
         number, owner, slot = [], [], []
-        self.profile = []
+        self.profile, self.spare = [], []
         for s in (0, 1):
             inst = self.band + s
             width = parts[inst]
@@ -128,6 +131,8 @@ class Signatures:
             own = mixed(total + mixed((inst[of].astype(np.uint64) << np.uint64(32)) | index.astype(np.uint64)))
             full = count > 0
             empty = width - np.bincount(of[full], minlength=len(self.rows))
+            # signatures that the set shares with any set it is linked with, less one
+            self.spare.append(np.maximum(width - k[inst] - empty - 1, 0))
             sparse = np.flatnonzero(empty > width - k[inst] - 1)
             number += [own[full], mixed(SPARSE ^ inst[sparse].astype(np.uint64))]
             owner += [of[full], sparse]
@@ -141,7 +146,7 @@ class Signatures:
         return numbers[start[i] : start[i + 1]].tobytes() + counts[start[i] : start[i + 1]].tobytes()
 
 
-BASE = "id long, copy_of string, size long, band int, sigs0 array<long>, sigs1 array<long>, profile0 binary, profile1 binary, shingles binary"
+BASE = "id long, copy_of string, size long, band int, sigs0 array<long>, sigs1 array<long>, spare0 int, spare1 int, profile0 binary, profile1 binary, shingles binary"
 
 
 def signature_table(docs: DataFrame, text_col: str, n: int, p: int, q: int) -> DataFrame:
@@ -177,7 +182,7 @@ def signature_table(docs: DataFrame, text_col: str, n: int, p: int, q: int) -> D
         sets = ShingleSets(data.column(text_col), n)
         found = Signatures(sets, p, q)
         shared = Sketch(found.number, parts, SKETCH_WIDTH, SKETCH_DEPTH).repeated(other.filter(pc.invert(mask)), SKETCH) if len(found.number) else np.zeros(0, bool)
-        lists, profiles = [], []
+        lists, profiles, spares = [], [], []
         at = np.full(data.num_rows, -1, np.int64)
         at[found.rows] = np.arange(len(found.rows))
         for s in (0, 1):
@@ -189,6 +194,9 @@ def signature_table(docs: DataFrame, text_col: str, n: int, p: int, q: int) -> D
             offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
             lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(number.view(np.int64))))
             profiles.append(pa.array([found.profile_of(at[i], s) if count[i] else None for i in range(data.num_rows)], pa.binary()))
+            spare = np.zeros(data.num_rows, np.int32)
+            spare[found.rows] = found.spare[s]
+            spares.append(pa.array(spare))
         some = [len(a) + len(b) > 0 for a, b in zip(lists[0], lists[1], strict=True)]
         band = np.zeros(data.num_rows, np.int32)
         band[found.rows] = found.band
@@ -200,6 +208,8 @@ def signature_table(docs: DataFrame, text_col: str, n: int, p: int, q: int) -> D
                 "band": pa.array(band),
                 "sigs0": lists[0],
                 "sigs1": lists[1],
+                "spare0": spares[0],
+                "spare1": spares[1],
                 "profile0": profiles[0],
                 "profile1": profiles[1],
                 "shingles": pa.array([sets.blob(i) if s else None for i, s in enumerate(some)], pa.binary()),
@@ -368,6 +378,20 @@ def remaining_links(members: DataFrame, base: DataFrame, p: int, q: int) -> Data
     return by_unit(left_over.join(shingles, "set"), compare, "src long, dst long").distinct()
 
 
+def distinctive(base: DataFrame) -> DataFrame:
+    """(set, rank, sig): signatures that other sets have too, without each set's most frequent ones.
+
+    A set that shares fewer than ``spare`` + 1 signatures of an instance is linked with nothing there. ``rank`` is the
+    number of signatures that a set has left.
+    """
+    slots = F.array(F.struct(F.lit(0).alias("slot"), F.col("spare0").alias("spare"), F.col("sigs0").alias("sigs")), F.struct(F.lit(1).alias("slot"), F.col("spare1").alias("spare"), F.col("sigs1").alias("sigs")))
+    each = base.select("set", F.explode(slots).alias("s")).filter(F.size("s.sigs") > F.col("s.spare")).select("set", "s.slot", "s.spare", F.explode("s.sigs").alias("sig"))
+    held = each.groupBy("sig").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    by_set = each.join(held, "sig").groupBy("set", "slot").agg(F.sort_array(F.collect_list(F.struct("members", "sig"))).alias("sigs"), F.first("spare").alias("spare"))
+    kept = by_set.filter(F.size("sigs") > F.col("spare")).select("set", F.slice("sigs", F.lit(1), F.size("sigs") - F.col("spare")).alias("sigs"))
+    return kept.select("set", F.size("sigs").alias("rank"), F.explode("sigs.sig").alias("sig"))
+
+
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, p: int = NUMERATOR, q: int = DENOMINATOR) -> DataFrame:
     """One row for each row of ``docs``: id_col, n_shingles, component_id."""
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -375,8 +399,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     base = signature_table(docs, "text", n, p, q)
     # numbered by id and digest, which name a text even where ids repeat
     base = written(base.withColumn("set", F.xxhash64("id", "copy_of")))
-    rank = F.size("sigs0") + F.size("sigs1")
-    sigs = base.filter(rank > 0).select("set", rank.alias("rank"), F.explode(F.concat("sigs0", "sigs1")).alias("sig"))
+    sigs = written(distinctive(base))
     groups = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("members"), F.max(F.struct("rank", "set")).alias("c")).filter("members > 1").select("sig", F.col("c.set").alias("centre"))
     stars = written(sigs.join(groups, "sig").filter("set <> centre").groupBy(F.col("set").alias("src"), F.col("centre").alias("dst")).agg(F.count(F.lit(1)).alias("shared")))
     nearest = stars.groupBy("src").agg(F.max_by("dst", F.struct("shared", -F.col("dst"))).alias("dst"))
