@@ -29,13 +29,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by shingles (five words, similarity 0.8) the document with the smallest id stays."""
-    found = jaccard.similarity_components(docs, n=5, p=4, q=5)
-    # rows without an id stay; rows that share an id stay or go together
-    gone = written(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
+    """Of each group linked by shingles (five words, similarity 0.8) one row stays: one with the smallest id, null last.
+
+    Ids may repeat or be null, so rows get keys of their own, written once so that every later read sees the same.
+    """
+    keyed = written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row_key")))
+    found = jaccard.similarity_components(keyed, id_col="row_key", n=5, p=4, q=5).select("row_key", "component_id")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
+    groups = written(found.join(keyed.select("row_key", "doc_id"), "row_key"))
+    first = groups.groupBy("component_id").agg(F.min(place)["row_key"].alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # groups of one row lose nothing
+    gone = written(groups.join(first, "component_id").filter("row_key <> first").select("row_key"))
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return keyed.join(gone, "row_key", "left_anti").select(*COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,3 +48,15 @@ def test_run_and_empty_input(spark, folder, tmp_path):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, folder).isEmpty(), name
+
+
+def test_one_row_of_each_group_stays(spark, folder):
+    a, b, c, d, e = (words(1000 + i, 90, 3000) for i in range(5))
+    table = [(0, a), (0, a), (0, a), (1, b), (None, b), (None, c), (None, c), (None, d + " end"), (7, d), (3, e), (8, e), (3, e), (4, None), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in table], SCHEMA).repartition(3)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, folder)
+    left = corpus_pipeline.drop_repeated_passages(spark, kept, folder)
+    # texts without words are linked with nothing
+    expected = sorted([(0, a), (1, b), (None, c), (7, d), (3, e), (4, None), (4, None)], key=str)
+    for rows_out in (kept, left):
+        assert sorted(((r["doc_id"], r["text"]) for r in rows_out.collect()), key=str) == expected
