@@ -112,24 +112,35 @@ def nearest_vector(df: DataFrame, vector: str, seeds: DataFrame, seed_id: str, l
     return df.withColumn("_d", distances).withColumn(label, F.element_at(ids, F.array_position("_d", F.array_min("_d")).cast("int"))).drop("_d")
 
 
-def merge_small(df: DataFrame, edges: DataFrame, min_size: int, node: str = "node", parcel: str = "parcel", max_rounds: int = 20) -> DataFrame:
-    """Parcels of at most ``min_size`` nodes join, one round after the other, the neighbour they share most edges with."""
+def merge_small(df: DataFrame, edges: DataFrame, min_size: int, node: str = "node", parcel: str = "parcel") -> DataFrame:
+    """Parcels of at most ``min_size`` nodes join the neighbour they share most edges with, the smallest of all first.
+
+    Background neither joins nor is joined. A small parcel that comes before all its small neighbours isn't touched by
+    other moves until its turn, so all such parcels move in one round. Rounds work on the table of parcels and their
+    shared edges, and go on until no small parcel has a neighbour. ``edges`` holds both directions.
+    """
     from gridsignal.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(df.sparkSession)
-    now = df.select(node, parcel).checkpoint()
-    for _ in range(max_rounds):
-        small = parcel_sizes(now, parcel).filter(F.col("size") <= min_size)
-        a = now.select(F.col(node).alias("src"), F.col(parcel).alias("p"))
-        b = now.select(F.col(node).alias("dst"), F.col(parcel).alias("q"))
-        links = edges.join(a, "src").join(b, "dst").filter("p <> q AND q <> 0").join(small.select(F.col(parcel).alias("p"), "size"), "p").groupBy("p", "size", "q").count()
-        moves = links.groupBy("p", "size").agg(F.max_by("q", F.struct("count", -F.col("q"))).alias("to"))
-        # the smallest of all goes first: later moves see its new parcel
-        first = moves.orderBy("size", "p").limit(1)
-        if first.isEmpty():
+    nodes = df.select(node, parcel)
+    a = nodes.select(F.col(node).alias("src"), F.col(parcel).alias("p"))
+    b = nodes.select(F.col(node).alias("dst"), F.col(parcel).alias("q"))
+    links = edges.join(a, "src").join(b, "dst").filter("p <> q AND p <> 0 AND q <> 0").groupBy("p", "q").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    sizes = parcel_sizes(nodes, parcel).select(F.col(parcel).alias("p"), "size").filter("p <> 0").checkpoint()
+    owner = sizes.select("p", F.col("p").alias("now")).checkpoint()
+    while True:
+        small = sizes.filter(F.col("size") <= min_size)
+        near = links.join(small, "p").join(small.select(F.col("p").alias("q"), F.col("size").alias("q_size")), "q", "left")
+        leads = F.col("q_size").isNull() | (F.struct("size", "p") < F.struct(F.col("q_size").alias("size"), F.col("q").alias("p")))
+        moves = near.groupBy("p").agg(F.max_by("q", F.struct("n", -F.col("q"))).alias("to"), F.bool_and(leads).alias("leads")).filter("leads").select("p", "to").checkpoint()
+        if moves.isEmpty():
             break
-        now = now.join(F.broadcast(first.select(F.col("p").alias(parcel), "to")), parcel, "left").select(node, F.coalesce("to", parcel).alias(parcel)).checkpoint()
-    return now
+        to_q = moves.select(F.col("p").alias("q"), F.col("to").alias("q_to"))
+        moved = links.join(moves, "p", "left").join(to_q, "q", "left").select(F.coalesce("to", "p").alias("p"), F.coalesce("q_to", "q").alias("q"), "n")
+        links = moved.filter("p <> q").groupBy("p", "q").agg(F.sum("n").alias("n")).checkpoint()
+        sizes = sizes.join(moves, "p", "left").groupBy(F.coalesce("to", "p").alias("p")).agg(F.sum("size").alias("size")).checkpoint()
+        owner = owner.join(moves.select(F.col("p").alias("now"), "to"), "now", "left").select("p", F.coalesce("to", "now").alias("now")).checkpoint()
+    return nodes.join(owner.withColumnRenamed("p", parcel), parcel, "left").select(node, F.coalesce("now", parcel).alias(parcel))
 
 
 def ward(features: np.ndarray, neighbours: list[set[int]], n_clusters: int) -> np.ndarray:

@@ -75,3 +75,29 @@ def test_ward_and_merging(spark):
     assert sorted(r["parcel"] for r in near.collect()) == [1, 2]
     assert parcellation.round_n_parcels(347) == 300 and parcellation.round_n_parcels(47) == 50
     assert parcellation.keep_parcels(cells, [3, 1], renumber=True).agg(F.count_distinct("parcel")).first()[0] == 2
+
+
+def one_by_one(parcel_of, edges, min_size):
+    """Merging as defined: the smallest parcel that has a neighbour goes first."""
+    now = dict(parcel_of)
+    while True:
+        best = None
+        for p in set(now.values()) - {0}:
+            size = sum(v == p for v in now.values())
+            near = [now[b] for a, b in edges if now[a] == p and now[b] not in (0, p)]
+            if size <= min_size and near and (best is None or (size, p) < best[:2]):
+                best = size, p, max(set(near), key=lambda q: (near.count(q), -q))
+        if best is None:
+            return now
+        now = {n: best[2] if p == best[1] else p for n, p in now.items()}
+
+
+def test_all_small_parcels_merge(spark):
+    rng = np.random.default_rng(3)
+    labels = {i: int(p) for i, p in enumerate(np.repeat(np.arange(60), rng.integers(1, 6, 60)))}
+    pairs = [(i, i + 1) for i in range(len(labels) - 1)] + [tuple(map(int, p)) for p in rng.integers(0, len(labels), (40, 2))]
+    edges = graph.both_ways(spark.createDataFrame(pairs, "src long, dst long"))
+    cells = spark.createDataFrame(list(labels.items()), "node long, parcel int")
+    expected = one_by_one(labels, [tuple(r) for r in edges.collect()], 4)
+    assert len(set(labels.values()) - set(expected.values())) > 20
+    assert {r["node"]: r["parcel"] for r in parcellation.merge_small(cells, edges, 4).collect()} == expected
