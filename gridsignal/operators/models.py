@@ -8,7 +8,7 @@ failures as reports. The linear model needs no grouping: its small solution matr
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,27 +20,60 @@ from gridsignal.functions.signal import smoothness_precision
 OUTPUT = "parcel long, name string, voxel long, condition string, at double, value double, report string"
 
 
-def fit_parcels(signals: DataFrame, estimate: Callable[[np.ndarray, np.ndarray, int], dict], by: str = "parcel", pass_error: bool = True) -> DataFrame:
+def _cells(parcel: int, voxel: int | None, pass_error: bool, estimate: Callable, *args) -> list[tuple]:
+    """Rows of OUTPUT of one estimate, or its error as a report."""
+    try:
+        return [(parcel, name, *cell, "ok") for name, cells in estimate(*args).items() for cell in cells]
+    except Exception as error:
+        if not pass_error:
+            raise
+        return [(parcel, None, voxel, None, None, None, f"{type(error).__name__}: {error}")]
+
+
+def _frame(out: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
+    return frame.astype({"voxel": "Int64", "at": "float64", "value": "float64"})
+
+
+def fit_parcels(signals: DataFrame, estimate: Callable[..., dict], by: str = "parcel", pass_error: bool = True, edges: DataFrame | None = None) -> DataFrame:
     """Rows (columns of OUTPUT) of what ``estimate(voxels, y, seed)`` returns for each parcel.
 
     It returns {name: list of (voxel or None, condition or None, at or None, value)}. A parcel that fails gives one row
-    with the error as its report, unless ``pass_error`` is false. The seed depends on the parcel only.
+    with the error as its report, unless ``pass_error`` is false. The seed depends on the parcel only. With ``edges``
+    (``by``, src, dst), a parcel's own edges come to its task and are the estimator's fourth argument.
     """
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return fitted(key, rows)
+
+    def run_linked(key: tuple, rows: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        return fitted(key, rows, list(zip(links["src"].tolist(), links["dst"].tolist(), strict=True)))
+
+    def fitted(key: tuple, rows: pd.DataFrame, *links: list[tuple[int, int]]) -> pd.DataFrame:
+        if rows.empty:
+            return _frame([])
         parcel = int(key[0])
         rows = rows.sort_values("voxel")
-        try:
-            found = estimate(rows["voxel"].to_numpy(), np.stack(rows["y"].to_numpy()).astype(float), zlib.crc32(str(parcel).encode()))
-            out = [(parcel, name, *cell, "ok") for name, cells in found.items() for cell in cells]
-        except Exception as error:
-            if not pass_error:
-                raise
-            out = [(parcel, None, None, None, None, None, f"{type(error).__name__}: {error}")]
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
-        return frame.astype({"voxel": "Int64", "at": "float64", "value": "float64"})
+        fit = lambda: estimate(rows["voxel"].to_numpy(), np.stack(rows["y"].to_numpy()).astype(float), zlib.crc32(str(parcel).encode()), *links)
+        return _frame(_cells(parcel, None, pass_error, fit))
 
-    return signals.groupBy(by).applyInPandas(run, OUTPUT)
+    if edges is None:
+        return signals.groupBy(by).applyInPandas(run, OUTPUT)
+    return signals.groupBy(by).cogroup(edges.groupBy(by)).applyInPandas(run_linked, OUTPUT)
+
+
+def fit_voxels(signals: DataFrame, estimate: Callable[[np.ndarray, np.ndarray, int], dict], pass_error: bool = True) -> DataFrame:
+    """As ``fit_parcels``, for estimators that treat each voxel alone: no row moves, and a failure is one voxel's."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for parcel, voxel, y in zip(rows["parcel"], rows["voxel"], rows["y"], strict=True):
+                fit = lambda: estimate(np.array([voxel]), np.asarray(y, float)[None], zlib.crc32(str(voxel).encode()))  # noqa: B023, E731
+                out += _cells(int(parcel), int(voxel), pass_error, fit)
+            yield _frame(out)
+
+    return signals.select("parcel", "voxel", "y").mapInPandas(run, OUTPUT)
 
 
 def without_crashed(results: DataFrame) -> DataFrame:
@@ -125,14 +158,12 @@ def rfir(onsets: np.ndarray, drift: np.ndarray, dt: float, n_iterations: int = 5
 # joint detection and estimation
 
 
-def neighbours_of(edges: list[tuple[int, int]], voxels: np.ndarray) -> np.ndarray:
-    """Symmetric 0/1 matrix of a parcel's neighbours."""
+def neighbours_of(edges: list[tuple[int, int]], voxels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of both ends of a parcel's edges, each edge in both directions once, by the first end."""
     at = {int(v): i for i, v in enumerate(voxels)}
-    out = np.zeros((len(voxels), len(voxels)))
-    for a, b in edges:
-        if a in at and b in at:
-            out[at[a], at[b]] = out[at[b], at[a]] = 1.0
-    return out
+    pairs = {p for a, b in edges if a in at and b in at for p in ((at[a], at[b]), (at[b], at[a]))}
+    ends = np.array(sorted(pairs), int).reshape(-1, 2)
+    return ends[:, 0], ends[:, 1]
 
 
 class Parcel:
@@ -166,8 +197,8 @@ def variational_jde(onsets: np.ndarray, drift: np.ndarray, dt: float, edges: lis
     """
     model = Parcel(onsets, drift, dt)
 
-    def estimate(voxels: np.ndarray, y: np.ndarray, seed: int) -> dict:
-        near = neighbours_of(edges, voxels)
+    def estimate(voxels: np.ndarray, y: np.ndarray, seed: int, links: list[tuple[int, int]] = edges) -> dict:
+        ends, near = neighbours_of(links, voxels)
         h, a, noise, trend = model.start(y)
         cov_h = np.zeros((model.d, model.d))
         q = np.full((*a.shape, 2), 0.5)
@@ -186,7 +217,9 @@ def variational_jde(onsets: np.ndarray, drift: np.ndarray, dt: float, edges: lis
             a = np.einsum("vmk,vk->vm", cov_a, rest @ s / noise[:, None] + (weight * mean[None]).sum(2))
             second = cov_a + np.einsum("vm,vk->vmk", a, a)
             # classes
-            log_q = -0.5 * np.log(var)[None] - 0.5 * ((a[:, :, None] - mean[None]) ** 2 + np.diagonal(cov_a, axis1=1, axis2=2)[:, :, None]) / var[None] + beta * np.einsum("vw,wmc->vmc", near, q)
+            around = np.zeros_like(q)
+            np.add.at(around, ends, q[near])
+            log_q = -0.5 * np.log(var)[None] - 0.5 * ((a[:, :, None] - mean[None]) ** 2 + np.diagonal(cov_a, axis1=1, axis2=2)[:, :, None]) / var[None] + beta * around
             q = np.exp(log_q - log_q.max(2, keepdims=True))
             q = np.maximum(q / q.sum(2, keepdims=True), 1e-12)
             # response, back to unit norm
@@ -235,9 +268,10 @@ def gibbs_jde(onsets: np.ndarray, drift: np.ndarray, dt: float, edges: list[tupl
     """The same model by Gibbs sampling; posterior means after a third of the sweeps as burn-in."""
     model = Parcel(onsets, drift, dt)
 
-    def estimate(voxels: np.ndarray, y: np.ndarray, seed: int) -> dict:
+    def estimate(voxels: np.ndarray, y: np.ndarray, seed: int, links: list[tuple[int, int]] = edges) -> dict:
         rng = np.random.default_rng(seed)
-        near = neighbours_of(edges, voxels)
+        ends, other = neighbours_of(links, voxels)
+        near = np.split(other, np.searchsorted(ends, np.arange(1, len(voxels))))
         h, a, noise, trend = model.start(y)
         middle = (a.max(0) + a.min(0)) / 2
         labels = (a > middle).astype(int)
@@ -263,7 +297,7 @@ def gibbs_jde(onsets: np.ndarray, drift: np.ndarray, dt: float, edges: list[tupl
                     for z in (0, 1):
                         v = 1 / (power[k] / noise[i] + 1 / var[k, z])
                         m = v * (c + mean[k, z] / var[k, z])
-                        logs[z] = 0.5 * np.log(v / var[k, z]) + 0.5 * m * m / v - 0.5 * mean[k, z] ** 2 / var[k, z] + beta * near[i] @ (labels[:, k] == z)
+                        logs[z] = 0.5 * np.log(v / var[k, z]) + 0.5 * m * m / v - 0.5 * mean[k, z] ** 2 / var[k, z] + beta * (labels[near[i], k] == z).sum()
                         draws[z] = m, v
                     z = int(rng.random() < 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500))))
                     labels[i, k] = z

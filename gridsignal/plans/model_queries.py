@@ -1,4 +1,8 @@
-"""Model fits on the events table: a voxel is a user, a scan a quarter of a day, a parcel a group of users."""
+"""Model fits on the events table: a voxel is a user, a scan a quarter of a day, a parcel a group of users.
+
+Users have no place in the tables: in the order of their ids they fill parcels of bounded size, row by row of a sheet, and
+the neighbours on the sheet are the joint models' neighbours.
+"""
 
 from __future__ import annotations
 
@@ -7,24 +11,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridsignal.functions.signal import polynomial_basis
-from gridsignal.operators import models
+from gridsignal.operators import graph, models
+from gridsignal.operators.ranking import global_row_number
 from gridsignal.plans.event_queries import EVENTS, micros
 from gridsignal.plans.registry import query
 from gridsignal.session import table
 
 SCANS, FIRST_DAY, DT = 120, 19723, 0.25
+#: Users of a parcel at most, and of a row of its sheet.
+PARCEL, WIDTH = 100, 10
 
 
 def scan():
     return (F.floor(micros() / (86400e6 * DT)) - int(FIRST_DAY / DT)).cast("int")
 
 
-def signals(spark: SparkSession, sf_dir: str, parcels: int = 8) -> DataFrame:
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's number of events in each scan."""
     counts = table(spark, sf_dir, "events").groupBy("user_id", scan().alias("scan")).agg(F.count(F.lit(1)).cast("double").alias("n"))
     rows = counts.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("scan", "n"))).alias("m"))
     y = F.transform(F.sequence(F.lit(0), F.lit(SCANS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return rows.select((F.col("user_id") % parcels).alias("parcel"), F.col("user_id").alias("voxel"), y.alias("y"))
+    return rows.select(F.col("user_id").alias("voxel"), y.alias("y"))
+
+
+def in_parcels(voxels: DataFrame) -> DataFrame:
+    """Add parcel, and line and place on its sheet: as many parcels as ``PARCEL`` needs, of equal sizes but for one."""
+    ranked = global_row_number(voxels, ["voxel"], "rank")
+    n = ranked.count()
+    parcels = max(1, -(-n // PARCEL))
+    parted = ranked.withColumn("parcel", F.expr(f"rank * {parcels} div {max(n, 1)}")).withColumn("at", F.expr(f"rank - (parcel * {n} + {parcels - 1}) div {parcels}"))
+    return parted.select("parcel", *voxels.columns, F.expr(f"at div {WIDTH}").alias("line"), F.expr(f"at % {WIDTH}").alias("place"))
+
+
+def sheet_edges(parted: DataFrame) -> DataFrame:
+    """(parcel, src, dst): neighbours on the parcels' sheets, in both directions."""
+    cells = parted.select("parcel", "line", "place", "voxel")
+    edges = graph.lattice_edges(cells, ["parcel", "line", "place"], "voxel", [(0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)])
+    return graph.parcel_edges(edges, cells, "voxel")
 
 
 def onsets(spark: SparkSession, sf_dir: str, conditions: list[str], lags: int) -> np.ndarray:
@@ -56,14 +79,15 @@ def glm_ols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("voxel").alias("user_id"), F.round(F.col("beta")[0], 6).alias("intercept"), F.round(F.col("beta")[1], 6).alias("slope"), F.round("s2", 6).alias("s2"))
 
 
-def _fit(spark: SparkSession, sf_dir: str, make) -> DataFrame:
-    x = onsets(spark, sf_dir, ["click", "view"], 6)
-    return models.without_crashed(models.fit_parcels(signals(spark, sf_dir), make(x, polynomial_basis(SCANS, 3))))
+def _fit(spark: SparkSession, sf_dir: str, make, linked: bool = True) -> DataFrame:
+    estimate = make(onsets(spark, sf_dir, ["click", "view"], 6), polynomial_basis(SCANS, 3))
+    parted = in_parcels(signals(spark, sf_dir))
+    return models.without_crashed(models.fit_parcels(parted, estimate, edges=sheet_edges(parted)) if linked else models.fit_voxels(parted, estimate))
 
 
 @query("rfir")
 def rfir(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fit(spark, sf_dir, lambda x, drift: models.rfir(x, drift, DT))
+    return _fit(spark, sf_dir, lambda x, drift: models.rfir(x, drift, DT), linked=False)
 
 
 @query("vem")
@@ -73,4 +97,4 @@ def vem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("gibbs")
 def gibbs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fit(spark, sf_dir, lambda x, drift: models.gibbs_jde(x, drift, DT, [], n_iterations=60))
+    return _fit(spark, sf_dir, lambda x, drift: models.gibbs_jde(x, drift, DT, []))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from gridsignal.operators import models
 from gridsignal.operators.simulation import simulate
+from gridsignal.plans import model_queries
 
 
 @pytest.fixture(scope="module")
@@ -64,3 +65,40 @@ def test_failures_become_reports_and_partitions_do_not_matter(truth):
     b = models.fit_parcels(parcels.repartition(7), broken).toPandas().sort_values(["parcel", "voxel"]).reset_index(drop=True)
     pd.testing.assert_frame_equal(a, b)
     assert {"ok", "ValueError: no"} >= set(a["report"])
+
+
+def test_edges_come_to_their_parcel(spark):
+    # levels near the noise, so that neighbours matter
+    truth = simulate(spark, parcels=2, active_mean=1.0, noise=20.0)
+    for make in (models.variational_jde, lambda *a: models.gibbs_jde(*a, n_iterations=6)):
+        edges = spark.createDataFrame([(p, a, b) for p in (1, 2) for a, b in truth.edges], "parcel long, src long, dst long")
+        alone, apart = make(truth.onsets, truth.drift, truth.dt, truth.edges), make(truth.onsets, truth.drift, truth.dt, [])
+        by = ["parcel", "name", "voxel", "condition", "at"]
+        a, b, c = (f.toPandas().sort_values(by).reset_index(drop=True) for f in (models.fit_parcels(truth.signals, alone), models.fit_parcels(truth.signals, apart, edges=edges), models.fit_parcels(truth.signals, apart)))
+        pd.testing.assert_frame_equal(a, b)
+        assert set(a["report"]) == {"ok"} and not values(a, "active")["value"].equals(values(c, "active")["value"])
+
+
+def test_parcels_of_users_are_bounded(spark, tmp_path):
+    ts = F.timestamp_seconds(F.lit(19723 * 86400) + F.pmod(F.xxhash64("id"), F.lit(30 * 86400)))
+    kind = F.when(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3)) == 0, "click").otherwise("view")
+    spark.range(9030).select(F.col("id").alias("event_id"), (F.col("id") % 903 * 7).alias("user_id"), kind.alias("event_type"), ts.alias("ts"), F.lit(1.0).alias("value")).write.parquet(f"{tmp_path}/events.parquet")
+    fits = model_queries.rfir(spark, str(tmp_path)).filter("name = 'noise_var'").toPandas()
+    assert sorted(fits["voxel"]) == [7 * i for i in range(903)]
+    assert set(fits.groupby("parcel").size()) <= {90, 91}
+    parted = model_queries.in_parcels(model_queries.signals(spark, str(tmp_path)))
+    edges = model_queries.sheet_edges(parted)
+    at = {r["voxel"]: r["parcel"] for r in parted.collect()}
+    pairs = {(r["src"], r["dst"]) for r in edges.collect()}
+    assert pairs == {(b, a) for a, b in pairs} and {(0, 7), (0, 70)} <= pairs and (63, 70) not in pairs
+    assert all(at[a] == at[b] for a, b in pairs)
+
+
+def test_a_failing_voxel_is_reported_alone(truth):
+    def broken(voxels, y, seed):
+        if voxels[0] == 3:
+            raise ValueError("no")
+        return {"mean": [(int(voxels[0]), None, None, float(y.mean()))]}
+
+    got = models.fit_voxels(truth.signals.filter("parcel = 1"), broken).toPandas()
+    assert list(got[got["report"] != "ok"]["voxel"]) == [3] and len(got) == truth.signals.filter("parcel = 1").count()
