@@ -101,8 +101,13 @@ class ShingleSets:
         self.size = np.diff(self.first)
 
     def blob(self, row: int) -> bytes:
-        """48 bits of each shingle: enough to compare two sets with a chance of error of 1e-9."""
-        return squeeze_sorted(np.unique(self.number[self.first[row] : self.first[row + 1]] >> np.uint64(16)))
+        """48 bits of each shingle: enough to compare two sets of n shingles with a chance of error of n^2 / 2^48.
+
+        Shingles of the set that agree in these bits take the numbers that follow, so there are as many as shingles.
+        """
+        short = (self.number[self.first[row] : self.first[row + 1]] >> np.uint64(16)).astype(np.int64)
+        at = np.arange(len(short))
+        return squeeze_sorted((np.maximum.accumulate(short - at) + at).astype(np.uint64))
 
 
 class Signatures:

@@ -3,10 +3,13 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from gridsignal.llm import jaccard, lm, substrings
+from gridsignal.llm.parts import unsqueeze_sorted
 from tests.llm.conftest import EXTRA, SCHEMA, words
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -152,3 +155,11 @@ def test_bands_cover_all_pairs():
 
 def test_components_of_an_empty_table(no_docs):
     assert jaccard.similarity_components(no_docs).isEmpty()
+
+
+def test_shingles_that_agree_in_48_bits():
+    sets = jaccard.ShingleSets(pa.chunked_array([["one two three four five six"]]), 4)
+    assert len(sets.number) == 3
+    sets.number[:] = [1 << 20, (1 << 20) + 5, 1 << 40]
+    got = unsqueeze_sorted(sets.blob(0), 3, np.uint64)
+    assert got.tolist() == [16, 17, 1 << 24] and jaccard.linked(got, got, 1, 1)
