@@ -35,20 +35,24 @@ def with_least(edges: DataFrame, heavy: float) -> DataFrame:
     return rest.select("src", "dst", "m").union(marked.filter(F.col("hub_m").isNotNull()).select("src", "dst", F.col("hub_m").alias("m")))
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int | None = None) -> DataFrame:
     """``(node, component)``: the smallest node reachable from each node, itself included.
 
     Large-star and small-star steps (Kiveris et al., 2014) hang each node on the smallest of its neighbourhood until
     the edges are stars; the number of rounds grows with the logarithm of the longest path. ``nodes`` (column ``node``)
     adds nodes without edges. Null ends are ignored. Heavy nodes (``HEAVY_SHARE``, so at most 400) are dealt with apart.
+    Rounds go on until the edges stay the same; with ``max_rounds``, an error tells that they didn't by then.
     """
     ensure_checkpoint_dir(edges.sparkSession)
     low, high = F.least("src", "dst"), F.greatest("src", "dst")
     # oriented: src is the larger end
     now = edges.filter(F.col("src") != F.col("dst")).select(high.alias("src"), low.alias("dst")).distinct().checkpoint()
-    state = None
+    state, rounds = None, 0
     heavy = max(1000, now.count() * HEAVY_SHARE)
-    for _ in range(max_rounds):
+    while True:
+        if rounds == max_rounds:
+            raise RuntimeError(f"components not found in {max_rounds} rounds")
+        rounds += 1
         sides = now.union(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         large = with_least(sides, heavy).filter(F.col("dst") > F.col("src")).select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct()
         joined = with_least(large, heavy)

@@ -1,3 +1,5 @@
+import pytest
+
 from gridsignal.operators.graph import connected_components
 
 
@@ -22,3 +24,10 @@ def test_heavy_nodes_are_dealt_with_apart(spark):
     assert {got[k] for k in (3, 5, *range(10, 1600))} == {3}
     assert {got[k] for k in (*range(2000, 3500), 4000)} == {2000}
     assert {got[k] for k in (1700, 1701, 1702)} == {1700}
+
+
+def test_components_end_whole_or_with_an_error(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(60)], "src long, dst long")
+    with pytest.raises(RuntimeError):
+        connected_components(path, max_rounds=1)
+    assert connected_components(path).filter("component <> 0").isEmpty()
