@@ -1,15 +1,20 @@
 """Graphs as edge tables: lattices, meshes, neighbour sums, search from a root and connected components.
 
-An undirected graph is a DataFrame ``(src, dst)``. Iterative operators cut their lineage with ``checkpoint()``, which
-writes to the session's checkpoint folder, so lost executors cost no restart.
+An undirected graph is a DataFrame ``(src, dst)``. Iterative operators cut their lineage with tables or
+``checkpoint()``s in the session's checkpoint folder, so lost executors cost no restart.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridsignal.session import ensure_checkpoint_dir
+from gridsignal.session import ensure_checkpoint_dir, written
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -18,57 +23,94 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return pairs.union(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
-#: A node with more than this share of all edges counts as heavy.
-HEAVY_SHARE = 1 / 200
-
+#: Edges that a task contracts at once.
+CHUNK_EDGES = 1 << 20
 
-def with_least(edges: DataFrame, heavy: float) -> DataFrame:
-    """``edges`` with ``m``, the least of each src's dst and itself.
 
-    Nodes with more than ``heavy`` edges, of which there are few by the choice of it, are sent to all tasks; so their
-    edges stay where they are, and the shuffled join has only nodes of fewer edges.
-    """
-    least = edges.groupBy("src").agg(F.min("dst").alias("m"), F.count(F.lit(1)).alias("n")).select("src", F.least("src", "m").alias("m"), "n")
-    hubs = least.filter(F.col("n") > heavy).select("src", F.col("m").alias("hub_m"))
-    marked = edges.join(F.broadcast(hubs), "src", "left")
-    rest = marked.filter(F.col("hub_m").isNull()).select("src", "dst").join(least.filter(F.col("n") <= heavy).select("src", "m"), "src")
-    return rest.select("src", "dst", "m").union(marked.filter(F.col("hub_m").isNotNull()).select("src", "dst", F.col("hub_m").alias("m")))
+def least_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ends of some edges, and for each the least end of its component among these edges."""
+    keys, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    top = np.arange(len(keys))
+    while True:
+        x, y = top[a], top[b]
+        apart = x != y
+        if not apart.any():
+            return keys, keys[top]
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(top, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            higher = top[top]
+            if (higher == top).all():
+                break
+            top = higher
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """``(key, least)``: each end of the edges (src, dst), once for each chunk of a partition that has it, with the least
+    end it is joined with inside the chunk. So a node of any number of edges gives one row a chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in chain(batches, [None]):
+            if batch is not None and batch.num_rows:
+                held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+                size += batch.num_rows
+            if held and (batch is None or size >= CHUNK_EDGES):
+                keys, least = least_ends(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(least)], ["key", "least"])
+                held, size = [], 0
+
+    return edges.mapInArrow(run, "key long, least long")
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int | None = None) -> DataFrame:
-    """``(node, component)``: the smallest node reachable from each node, itself included.
-
-    Large-star and small-star steps (Kiveris et al., 2014) hang each node on the smallest of its neighbourhood until
-    the edges are stars; the number of rounds grows with the logarithm of the longest path. ``nodes`` (column ``node``)
-    adds nodes without edges. Null ends are ignored. Heavy nodes (``HEAVY_SHARE``, so at most 400) are dealt with apart.
-    Rounds go on until the edges stay the same; with ``max_rounds``, an error tells that they didn't by then.
+    """``(node, component)``: the smallest node reachable from each node, itself included. Nodes are whole numbers.
+
+    Edges are contracted inside partitions, which leaves a node one row a partition, whatever its degree; each node then
+    takes the least of its rows as its label, and an edge joins labels from there on. From the second round on nodes go
+    by a random order, a bijective hash of their numbers, so each round leaves half of them at most on average and the
+    rounds grow with the logarithm of the longest path. The labels of all rounds are put together at the end.
+    ``nodes`` (column ``node``) adds nodes without edges. Null ends are ignored. Rounds go on until no edge is left; with
+    ``max_rounds``, an error tells that some were by then.
     """
-    ensure_checkpoint_dir(edges.sparkSession)
-    low, high = F.least("src", "dst"), F.greatest("src", "dst")
-    # oriented: src is the larger end
-    now = edges.filter(F.col("src") != F.col("dst")).select(high.alias("src"), low.alias("dst")).distinct().checkpoint()
-    state, rounds = None, 0
-    heavy = max(1000, now.count() * HEAVY_SHARE)
+    kind = edges.schema["src"].dataType
+    now = contracted(edges.filter(F.col("src") != F.col("dst")).select(F.col("src").cast("long"), F.col("dst").cast("long")))
+    levels: list[DataFrame] = []
     while True:
-        if rounds == max_rounds:
+        if len(levels) == max_rounds:
             raise RuntimeError(f"components not found in {max_rounds} rounds")
-        rounds += 1
-        sides = now.union(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        large = with_least(sides, heavy).filter(F.col("dst") > F.col("src")).select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct()
-        joined = with_least(large, heavy)
-        small = joined.filter(F.col("dst") != F.col("m")).select(F.col("dst").alias("src"), F.col("m").alias("dst")).union(joined.select("src", F.col("m").alias("dst")))
-        now = small.filter(F.col("src") != F.col("dst")).distinct().checkpoint()
-        before, state = state, now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
-        if before == state:
+        met = written(now.withColumn("label", F.min("least").over(Window.partitionBy("key"))))
+        label = met.select("key", "label").distinct()
+        levels.append(label)
+        ends = label.select(F.col("key").alias("least"), F.col("label").alias("other"))
+        left = met.select("label", "least").distinct().join(ends, "least").filter("label <> other")
+        now = written(contracted(left.select(F.xxhash64("label"), F.xxhash64("other"))))
+        if now.isEmpty():
             break
-        heavy = max(1000, state[0] * HEAVY_SHARE)
-    stars = now.select(F.col("src").alias("node"), F.col("dst").alias("component"))
-    out = stars.union(stars.select(F.col("component").alias("node"), "component")).distinct()
+    out = levels[0].select(F.col("key").alias("node"), "label")
+    if len(levels) > 1:
+        out = out.join(later_labels(levels), "label", "left").select("node", F.coalesce("component", "label").alias("label"))
+    out = out.select(F.col("node").cast(kind).alias("node"), F.col("label").cast(kind).alias("component"))
     if nodes is None:
         return out
     return nodes.select("node").distinct().join(out, "node", "full").select("node", F.coalesce("component", "node").alias("component"))
 
 
+def later_labels(levels: list[DataFrame]) -> DataFrame:
+    """``(label, component)``: the least label of the first level that the later levels join each with, if they have it."""
+    hashed = lambda c, n: hashed(F.xxhash64(c), n - 1) if n else c
+    last = len(levels) - 1
+    found = levels[last].select("key", F.col("label").alias("root"))
+    for j in range(last - 1, 0, -1):
+        on = found.select(F.col("key").alias("_key"), "root")
+        # a label that no later level has goes by the name it would have in the last one
+        found = levels[j].join(on, F.xxhash64("label") == F.col("_key"), "left").select("key", F.coalesce("root", hashed(F.col("label"), last - j)).alias("root"))
+    roots = written(levels[0].select("label").distinct().join(found, F.xxhash64("label") == F.col("key")).select("label", "root"))
+    least = written(roots.groupBy("root").agg(F.min("label").alias("component")))
+    return roots.join(least, "root").select("label", "component")
+
+
 #: Neighbour offsets of the usual kernels.
 KERNELS = {
     "2D-4n": [(-1, 0), (0, -1), (0, 1), (1, 0)],

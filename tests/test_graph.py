@@ -31,3 +31,30 @@ def test_components_end_whole_or_with_an_error(spark):
     with pytest.raises(RuntimeError):
         connected_components(path, max_rounds=1)
     assert connected_components(path).filter("component <> 0").isEmpty()
+
+
+def test_components_of_a_long_path_and_of_random_graphs(spark):
+    import random
+
+    r = random.Random(5)
+    order = list(range(5000))
+    r.shuffle(order)
+    path = list(zip(order[:-1], order[1:], strict=True))
+    forest = [(10_000 + i, 10_000 + r.randrange(i // 2, i)) for i in range(1, 3000)]
+    rows = [(int(a), int(b)) for a, b in path + forest] + [(None, 3), (4, None)]
+    edges = spark.createDataFrame(rows, "src int, dst int").repartition(16)
+    out = connected_components(edges)
+    assert [f.dataType.simpleString() for f in out.schema] == ["int", "int"]
+    got = {x["node"]: x["component"] for x in out.collect()}
+    top = {n: n for e in path + forest for n in e}
+
+    def root(n):
+        while top[n] != n:
+            n = top[n]
+        return n
+
+    for a, b in forest:
+        x, y = root(a), root(b)
+        top[max(x, y)] = min(x, y)
+    assert all(got[n] == 0 for n in order)
+    assert got == {n: 0 if n < 10_000 else root(n) for n in top}
