@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from gridsignal.llm.text import mixed
@@ -40,7 +40,13 @@ def part_count(docs: DataFrame, text_col: str = "text", part_bytes: int = PART_B
 
 
 def in_parts(docs: DataFrame, n_parts: int, *key: str) -> DataFrame:
-    return docs.withColumn("part", F.pmod(F.xxhash64(*key), F.lit(n_parts)).cast("int"))
+    """``docs`` with ``part``, dealt to as many partitions as parts."""
+    return docs.withColumn("part", F.pmod(F.xxhash64(*key), F.lit(n_parts)).cast("int")).repartition(n_parts, "part")
+
+
+def by_shard(messages: DataFrame, n_shards: int) -> GroupedData:
+    """Messages dealt to as many partitions as shards: tasks grow in number with the input, whatever the session's setting."""
+    return messages.repartition(n_shards, "shard").groupBy("shard")
 
 
 def table(rows: list[tuple]) -> pa.Table:

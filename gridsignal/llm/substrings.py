@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from gridsignal.llm.parts import MESSAGE, Sketch, in_parts, joined_bits, merge_sketches, of_kind, part_count, runs, shard_of, squeeze, squeeze_bits, squeeze_sorted, table, unsqueeze, unsqueeze_bits, unsqueeze_sorted
+from gridsignal.llm.parts import MESSAGE, Sketch, by_shard, in_parts, joined_bits, merge_sketches, of_kind, part_count, runs, shard_of, squeeze, squeeze_bits, squeeze_sorted, table, unsqueeze, unsqueeze_bits, unsqueeze_sorted
 from gridsignal.llm.text import Words, mixed, ngrams, same_row
 
 WINDOW = 35
@@ -147,9 +147,9 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", key: tuple[str, ...]
 
     by_part = parted.groupBy("part")
     sketches = by_part.applyInArrow(sketch, MESSAGE)
-    estimates = sketches.groupBy("shard").applyInArrow(lambda q: table(merge_sketches(q, SKETCH)), MESSAGE)
+    estimates = by_shard(sketches, n).applyInArrow(lambda q: table(merge_sketches(q, SKETCH)), MESSAGE)
     asked = by_part.cogroup(estimates.groupBy("part")).applyInArrow(candidates, MESSAGE)
-    answers = asked.groupBy("shard").applyInArrow(lambda q: table(answer_exact(q)), MESSAGE)
+    answers = by_shard(asked, n).applyInArrow(lambda q: table(answer_exact(q)), MESSAGE)
     return by_part.cogroup(answers.groupBy("part")).applyInArrow(finish, schema)
 
 
