@@ -49,30 +49,30 @@ def test_removal_keeps_columns_and_empty_tables(docs, no_docs):
 
 
 def plain_scores(table):
-    docs, c, b, ctx = [], Counter(), Counter(), Counter()
+    """All words, pairs and triples counted, none left out; p(w | uv) rests on p(w | v), and this on p(w)."""
+    docs, c = [], [Counter() for _ in range(3)]
     for i, t in table:
         w = [*(t or "").encode().translate(LOWER).split(), b"\0end"]
         held = zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
         docs.append((i, w, held))
         if not held:
-            before = [b"\0open", *w[:-1]]
-            c.update(w)
-            ctx.update(before)
-            b.update(zip(before, w, strict=True))
-    n, v = sum(c.values()), len(c)
-    mass = Counter()
-    for (x, _), k in b.items():
-        if k >= 2:
-            mass[x] += k - 0.75
+            c[0].update([*w, b"\0open"])
+            c[1].update(zip([b"\0open", *w[:-1]], w, strict=True))
+            c[2].update(zip([b"\0open", *w[:-2]][: len(w) - 1], w[:-1], w[1:], strict=True))
+    n, v = sum(c[0].values()) - c[0][b"\0open"], len(c[0].keys() - {b"\0open"})
     out = []
     for i, w, held in docs:
         base = score = 0.0
-        for x, y in zip([b"\0open", *w[:-1]], w, strict=True):
-            p = (c[y] + 0.1) / (n + 0.1 * (v + 1))
-            arc = (b[x, y] - 0.75) / ctx[x] if b[x, y] >= 2 else 0.0
+        for k, y in enumerate(w):
+            p = (c[0][y] + 0.1) / (n + 0.1 * (v + 1))
             base += math.log10(p)
-            score += math.log10(arc + (1 - mass[x] / ctx[x] if ctx[x] else 1.0) * p)
-        out.append((i, held, len(w), sum(c[y] > 0 for y in w), n, base, score))
+            x = w[k - 1] if k else b"\0open"
+            p = (c[1][x, y] + 300 * p) / (c[0][x] + 300)
+            if k:
+                u = w[k - 2] if k > 1 else b"\0open"
+                p = (c[2][u, x, y] + 3 * p) / (c[1][u, x] + 3)
+            score += math.log10(p)
+        out.append((i, held, len(w), sum(c[0][y] > 0 for y in w), n, base, score))
     return out
 
 
@@ -163,3 +163,27 @@ def test_shingles_that_agree_in_48_bits():
     sets.number[:] = [1 << 20, (1 << 20) + 5, 1 << 40]
     got = unsqueeze_sorted(sets.blob(0), 3, np.uint64)
     assert got.tolist() == [16, 17, 1 << 24] and jaccard.linked(got, got, 1, 1)
+
+
+def test_failure_arcs_are_followed_and_state_is_carried():
+    texts = pa.chunked_array([["a b c a b d", "a b c", "x b c y y b d"]])
+    tokens = lm.Tokens(texts)
+    grams = lm.part_grams(tokens, 4)
+    train = tokens.row == 0
+    counts = (np.bincount(grams[0].of, [*train, 1]), np.bincount(grams[1].of, train), np.bincount(grams[2].of, train[~tokens.opens]))
+    counts = tuple(c.astype(np.int64) for c in counts)
+    automaton = lm.BackoffAutomaton(tokens, grams, counts, 7, 5)
+    pair = lambda k: 1 + automaton.n_words + grams[1].of[k]
+    state = np.array([pair(1), pair(1), automaton.opening])
+    word = automaton.word[[2, 11, 11]]
+    got = automaton.step(state, word)
+    # "a b" has an arc for "c"; "x" was never seen, so every failure arc is followed down to the root
+    assert state.tolist() == [pair(2), 1 + automaton.word[11], 1 + automaton.word[11]]
+    assert got[1] == pytest.approx(math.log10(3 / (2 + 3)) + math.log10(300 / (2 + 300)) + math.log10(automaton.root[automaton.word[11]]))
+    before = lm.PIECE
+    whole = automaton.read(tokens)
+    try:
+        lm.PIECE = 3
+        assert automaton.read(tokens).tolist() == whole.tolist()
+    finally:
+        lm.PIECE = before
