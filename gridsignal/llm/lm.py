@@ -12,8 +12,9 @@ a part asks (see ``parts``) about just the words, pairs and triples of its texts
 and answer with the totals. So every count comes from all training texts, and a task holds one part's texts and the part
 of the automaton that they can reach.
 
-Keys travel as their shard and 48 bits (fewer beyond 65,536 shards). A shard has about a million keys, whatever the size
-of the corpus, so a key shares its number with another one of its shard with a chance of 4e-9.
+Words travel as 64-bit numbers, pairs and triples as their shard and 44 bits (fewer beyond a million shards). A shard has
+about a million keys, whatever the size of the corpus, so the chance that a pair or triple shares its number, and then
+its count, with another one of its shard is 6e-8.
 
 Defined results: null and empty texts are the end token alone; repeated rows all count and are all scored; without
 training rows every probability comes from the smoothing alone; an empty table gives no rows; extra columns are ignored;
@@ -37,6 +38,8 @@ from gridsignal.llm.text import BASE, Words, mixed
 FOLDS, HELD = 10, 0
 ADD, PRIOR_2, PRIOR_3 = 0.1, 300.0, 3.0
 UNIGRAM, PAIR, TRIPLE = 0, 1, 2
+#: Bits of a pair's or triple's key inside its shard.
+GRAM_BITS = 44
 #: Tokens of a text that are read in one go.
 PIECE = 256
 #: The numbers of the end token, and of the context that opens a text.
@@ -66,46 +69,47 @@ class Tokens:
 
 def corpus_totals(docs: DataFrame, n_shards: int) -> tuple[int, int]:
     """Number of training tokens, and of different ones. ``docs``: text and held."""
+    schema = pa.schema([("shard", pa.int32()), ("tokens", pa.int64()), ("n", pa.int32()), ("words", pa.binary())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").filter(pc.invert(batch.column("held")))
             for lo, hi in chunks(texts, PART_BYTES):
                 keys, n = np.unique(Tokens(texts.slice(lo, hi - lo)).token, return_counts=True)
-                rows = [(s, 0, UNIGRAM, b - a, squeeze_sorted(keys[a:b]), squeeze(n[a:b]), None) for s, a, b in runs(shard_of(keys, n_shards))]
-                yield from table(rows).to_batches()
+                rows = [(s, int(n[a:b].sum()), b - a, squeeze_sorted(keys[a:b])) for s, a, b in runs(shard_of(keys, n_shards))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     def add(asked: pa.Table) -> pa.Table:
-        asked = of_kind(asked, UNIGRAM)
-        keys = np.concatenate([unsqueeze_sorted(m["a"], m["n"], np.uint64) for m in asked])
-        total = sum(int(unsqueeze(m["b"], m["n"], np.int64).sum()) for m in asked)
-        return pa.table({"tokens": [total], "kinds": [len(np.unique(keys))]})
+        keys = np.concatenate([unsqueeze_sorted(m["words"], m["n"], np.uint64) for m in asked.select(["n", "words"]).to_pylist()])
+        return pa.table({"tokens": [pc.sum(asked.column("tokens")).as_py()], "kinds": [len(np.unique(keys))]})
 
-    per_shard = by_shard(docs.mapInArrow(count, MESSAGE), n_shards).applyInArrow(add, "tokens long, kinds long")
-    got = per_shard.agg(F.sum("tokens"), F.sum("kinds")).first()
+    sent = docs.mapInArrow(count, "shard int, tokens long, n int, words binary")
+    got = by_shard(sent, n_shards).applyInArrow(add, "tokens long, kinds long").agg(F.sum("tokens"), F.sum("kinds")).first()
     return int(got[0] or 0), int(got[1] or 0)
 
 
 class Grams:
-    """The different ones of some tokens' n-grams: ``number`` (shard and local key, sorted), ``at`` (where each stands
-    first), ``of`` (each token's)."""
+    """The different ones of some tokens' n-grams: ``number`` (sorted, by shard first), ``at`` (where each stands first),
+    ``of`` (each token's). ``bits`` are kept of the key inside a shard, all without it."""
 
-    def __init__(self, keys: np.ndarray, n_shards: int):
-        self.bits = np.uint64(min(48, 64 - (n_shards - 1).bit_length()))
-        self.local = (np.uint64(1) << self.bits) - np.uint64(1)
-        number = (shard_of(keys, n_shards) << self.bits) | (keys & self.local)
+    def __init__(self, keys: np.ndarray, n_shards: int, bits: int | None = None):
+        self.n_shards, self.bits = n_shards, None if bits is None else np.uint64(min(bits, 64 - (n_shards - 1).bit_length()))
+        number = keys if bits is None else (shard_of(keys, n_shards) << self.bits) | (keys & self._local())
         self.number, self.at, self.of = np.unique(number, return_index=True, return_inverse=True)
 
+    def _local(self) -> np.uint64:
+        return (np.uint64(1) << self.bits) - np.uint64(1)
+
     def questions(self, part: int, kind: int, train: np.ndarray) -> list[tuple]:
         """``train``: whether each token's n-gram counts, or how often."""
         count = np.bincount(self.of, train, len(self.number)).astype(np.int64)
-        local = self.number & self.local
-        return [(s, part, kind, b - a, squeeze_sorted(local[a:b]), squeeze(count[a:b]), None) for s, a, b in runs(self.number >> self.bits)]
+        shard, sent = (shard_of(self.number, self.n_shards), self.number) if self.bits is None else (self.number >> self.bits, self.number & self._local())
+        return [(s, part, kind, b - a, squeeze_sorted(sent[a:b]), squeeze(count[a:b]), None) for s, a, b in runs(shard)]
 
 
 def part_grams(tokens: Tokens, n_shards: int) -> tuple[Grams, Grams, Grams]:
     """Of words (OPEN is the last entry), pairs, and triples (of all tokens but those that open a text)."""
-    return Grams(np.append(tokens.token, OPEN), n_shards), Grams(tokens.pair, n_shards), Grams(tokens.triple[~tokens.opens], n_shards)
+    return Grams(np.append(tokens.token, OPEN), n_shards), Grams(tokens.pair, n_shards, GRAM_BITS), Grams(tokens.triple[~tokens.opens], n_shards, GRAM_BITS)
 
 
 def count_grams(questions: pa.Table) -> list[tuple]:
