@@ -44,6 +44,14 @@ class Cuboid:
         axes = self.axes if axes is None else list(axes)
         return Cuboid(df, axes, value or self.value, {a: d for a, d in self.domains.items() if a in axes})
 
+    def like(self, df: DataFrame) -> Cuboid:
+        """Another table with this array's axes, label and domains."""
+        return self._like(df)
+
+    def copy(self) -> Cuboid:
+        """A new object on the same table; tables never change."""
+        return self._like(self.df)
+
     # axes and domains
 
     def has_axis(self, axis: str) -> bool:
@@ -84,6 +92,23 @@ class Cuboid:
         row = self.df.agg(*[F.count_distinct(a).alias(a) for a in self.axes]).first() if self.axes else {}
         return {a: len(self.domains[a]) if a in self.domains else row[a] for a in self.axes}
 
+    def n_cells(self) -> int:
+        return self.df.count()
+
+    def summary(self, precision: int = 4) -> DataFrame:
+        """One row ``summary``: mean(deviation)[least...most] of all cells."""
+        v = F.col(self.value)
+        parts = [F.round(F.avg(v), precision), F.round(F.stddev_pop(v), precision), F.min(v), F.max(v)]
+        return self.df.agg(F.format_string("%1$.{0}f(%2$.{0}f)[%3$.{0}f...%4$.{0}f]".format(precision), *[x.cast("double") for x in parts]).alias("summary"))
+
+    def descrip(self) -> str:
+        """Label, shape and the ends of each axis."""
+        ends = self.df.agg(*[f(a).alias(f"{n}_{a}") for a in self.axes for n, f in (("lo", F.min), ("hi", F.max))]).first()
+        return f"{self.value} {self.descrip_shape()}\n" + "\n".join(f"  {a}: {ends[f'lo_{a}']}...{ends[f'hi_{a}']}" for a in self.axes)
+
+    def get_orientation(self) -> list[str]:
+        return list(self.axes)
+
     def descrip_shape(self) -> str:
         return "(" + ",".join(f"{a}:{n}" for a, n in self.get_dshape().items()) + ")"
 
@@ -311,6 +336,27 @@ class Cuboid:
         right = other.df.withColumnRenamed(other.value, "_other")
         return self._like(self.df.join(right, other.axes).withColumn(self.value, F.col("_other")))
 
+    def to_html_table(self, row_axis: str, column_axis: str, limit: int = 1000) -> str:
+        """The array of two axes as an HTML table, for reports: at most ``limit`` rows and columns, or an error."""
+        names, grid = self._grid(row_axis, column_axis, limit)
+        head = "".join(f"<th>{c}</th>" for c in names)
+        body = "".join(f"<tr><th>{r}</th>" + "".join(f"<td>{'' if v is None else v}</td>" for v in cells) + "</tr>" for r, cells in grid)
+        return f"<table><tr><th>{row_axis}\\{column_axis}</th>{head}</tr>{body}</table>"
+
+    def to_latex(self, row_axis: str, column_axis: str, limit: int = 1000) -> str:
+        names, grid = self._grid(row_axis, column_axis, limit)
+        lines = [" & ".join(["", *map(str, names)])] + [" & ".join([str(r), *("" if v is None else str(v) for v in cells)]) for r, cells in grid]
+        return "\\begin{tabular}{l" + "r" * len(names) + "}\n" + " \\\\\n".join(lines) + " \\\\\n\\end{tabular}"
+
+    def _grid(self, row_axis: str, column_axis: str, limit: int) -> tuple[list, list[tuple]]:
+        if sorted(self.axes) != sorted((row_axis, column_axis)):
+            raise ValueError("a table has two axes")
+        names = [r[0] for r in self.domain(column_axis).limit(limit + 1).collect()]
+        rows = self.df.groupBy(row_axis).pivot(column_axis, names).agg(F.first(self.value)).orderBy(row_axis).limit(limit + 1).collect()
+        if len(names) > limit or len(rows) > limit:
+            raise ValueError(f"more than {limit} rows or columns")
+        return names, [(r[0], tuple(r)[1:]) for r in rows]
+
     # nesting
 
     def unstack(self, inner: Sequence[str]) -> DataFrame:

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SERIES = r"^(.*?)([0-9]+)[.]([a-zA-Z.~]*)$"
-
-
 def file_series(files: DataFrame, name: str = "name") -> DataFrame:
-    """(prefix, ext, number) of names that end in a number and an extension; others are left out."""
-    part = lambda i: F.regexp_extract(name, SERIES, i)
-    return files.filter(F.col(name).rlike(SERIES)).select(part(1).alias("prefix"), part(3).alias("ext"), part(2).cast("long").alias("number"))
+    """(prefix, ext, number) of names whose part before the last dot ends in digits and whose rest is letters, dots aside.
+
+    Names without such a number are left out: they belong to no series.
+    """
+    text = F.col(name)
+    ext = F.element_at(F.split(text, "[.]"), -1)
+    stem = F.left(text, F.length(text) - F.length(ext) - 1)
+    digits = F.regexp_extract(stem, "[0-9]*$", 0)
+    prefix = F.left(stem, F.length(stem) - F.length(digits))
+    return files.filter((digits != "") & ~ext.rlike("[^a-zA-Z~]")).select(prefix.alias("prefix"), ext.alias("ext"), digits.cast("long").alias("number"))
 
 
 def condensed(numbers: DataFrame, by: list[str], number: str = "number") -> DataFrame:
@@ -86,6 +90,11 @@ def format_duration(seconds: Column) -> Column:
     return F.concat(head, F.format_string("%.3fsec", seconds % 60))
 
 
+def pairs_in_grid(a: Column, b: Column) -> Column:
+    """a + b + 2 (a - 1)(b - 1) - 2: pairs of neighbours in a grid of a x b cells."""
+    return a + b + 2 * (a - 1) * (b - 1) - 2
+
+
 def contrast_vector(expression: str, conditions: list[str]) -> list[float]:
     """Coefficients of a linear expression of condition names: ``2*a - b``, ``a+b``. Unknown names raise."""
     import re

@@ -129,3 +129,19 @@ def blurred(df: DataFrame, by: list[str], time: str, value: str, width: int) ->
     kernel = F.array(*[F.struct(F.lit(i - width).alias("o"), F.lit(float(k)).alias("k")) for i, k in enumerate(gaussian_kernel(width))])
     spread = df.select(*by, time, value, F.explode(kernel).alias("e")).select(*by, (F.col(time) + F.col("e.o")).alias(time), (F.col(value) * F.col("e.k")).alias("c"))
     return spread.groupBy(*by, time).agg(F.sum("c").alias(value), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == 2 * width + 1).drop("_n")
+
+
+def resampled_signal(signal: Column, factor: int) -> Column:
+    """An array column on a grid ``factor`` times finer, from its first to before its last entry, by linear interpolation."""
+    at = F.sequence(F.lit(0), F.size(signal) * 0 + (F.size(signal) - 1) * factor - 1)
+    low = lambda i: F.floor(i / F.lit(factor)).cast("int")
+    part = lambda i: (i % F.lit(factor)) / F.lit(float(factor))
+    line = lambda i: F.get(signal, low(i)) + (F.coalesce(F.get(signal, low(i) + 1), F.lit(0.0)) - F.get(signal, low(i))) * part(i)
+    return F.when(F.size(signal) > 1, F.transform(at, line)).otherwise(F.array().cast("array<double>"))
+
+
+def closest(values: Column, x: Column) -> Column:
+    """Place (from 0) in a sorted array column of the entry nearest to ``x``, ties to the later one."""
+    far = F.transform(values, lambda v: F.abs(v - x))
+    n = F.size(values)
+    return n - F.array_position(F.reverse(far), F.array_min(far)).cast("int")

@@ -5,15 +5,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def normal_cdf(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1.0 + np.vectorize(math.erf, otypes=[float])(np.asarray(x, float) / math.sqrt(2.0)))
-
-
 def normal_isf(p: float) -> float:
     """Upper quantile of the standard normal law, by bisection on its tail."""
     lo, hi = -40.0, 40.0
@@ -23,14 +18,92 @@ def normal_isf(p: float) -> float:
     return (lo + hi) / 2
 
 
+#: Coefficients of Hart's rational approximation of the normal tail (1968, no. 5666), highest power first: fixed values.
+HART_OVER = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+HART_UNDER = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
+
+
 def phi(x: Column) -> Column:
-    """Standard normal distribution function of a column."""
+    """Standard normal distribution function of a column, to about 15 digits."""
+    z = F.abs(x)
+
+    def horner(coefficients: tuple[float, ...]) -> Column:
+        out = F.lit(coefficients[0])
+        for c in coefficients[1:]:
+            out = out * z + c
+        return out
+
+    bell = F.exp(-z * z / 2)
+    far = z + 0.65
+    for k in (4.0, 3.0, 2.0, 1.0):
+        far = z + F.lit(k) / far
+    tail = F.when(z < 7.07106781186547, bell * horner(HART_OVER) / horner(HART_UNDER)).otherwise(bell / far / math.sqrt(2 * math.pi))
+    return F.when(x > 0, 1.0 - tail).otherwise(tail)
+
+
+def student_tail(t: Column, dof: int) -> Column:
+    """P(T > t) of Student's law with a whole number of degrees of freedom, by its finite sum of cosines."""
+    angle = F.atan(t / math.sqrt(dof))
+    cos2, odd = F.pow(F.cos(angle), F.lit(2.0)), dof % 2
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+    # term j is the one before times cos^2 (2j - 1 + odd) / (2j + odd)
+    grow = lambda s, j: F.struct((s["term"] * cos2 * (2.0 * j - 1 + odd) / (2.0 * j + odd)).alias("term"), (s["total"] + s["term"] * cos2 * (2.0 * j - 1 + odd) / (2.0 * j + odd)).alias("total"))
+    n = dof // 2 - 1 if not odd else (dof - 3) // 2
+    steps = F.sequence(F.lit(1), F.lit(n)) if n >= 1 else F.array().cast("array<int>")
+    total = F.aggregate(steps, start, grow, lambda s: s["total"])
+    if odd:
+        inside = 2 / math.pi * (angle + (F.sin(angle) * F.cos(angle) * total if dof > 1 else F.lit(0.0)))
+    else:
+        inside = F.sin(angle) * total
+    return 0.5 - inside / 2
+
+
+def t_and_p(df: DataFrame, beta: str, deviation: str, dof: int, null_hypothesis: bool = True) -> DataFrame:
+    """Add ``t`` = beta / deviation and ``p``: the chance of more than t under Student's law, or under N(beta, deviation^2)."""
+    out = df.withColumn("t", F.col(beta) / F.col(deviation))
+    return out.withColumn("p", student_tail(F.col("t"), dof) if null_hypothesis else 1.0 - phi((F.col("t") - F.col(beta)) / F.col(deviation)))
+
+
+def cumulative_frequencies(df: DataFrame, value: str, threshold: float | None = None) -> DataFrame:
+    """(bin, centre, density, cumulated): a histogram with Scott's bin width, up to the first centre above ``threshold``.
+
+    A first pass finds the bins (one row), a second counts them. Without spread all values are one bin.
+    """
+    v = F.col(value)
+    ends = df.filter(v.isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("lo"), (F.max(v) - F.min(v)).alias("span"), F.stddev_pop(v).alias("s")).first()
+    if not ends["n"]:
+        return df.sparkSession.createDataFrame([], "bin long, centre double, density double, cumulated double")
+    bins = max(1, int(ends["span"] / (3.5 * ends["s"] / ends["n"] ** 0.33))) if ends["s"] else 1
+    width = ends["span"] / bins if ends["span"] else 1.0
+    at = F.least(F.floor((v - ends["lo"]) / width), F.lit(bins - 1))
+    counts = df.filter(v.isNotNull()).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("k"))
+    grid = df.sparkSession.range(bins).select(F.col("id").alias("bin")).join(counts, "bin", "left")
+    density = F.coalesce("k", F.lit(0)) / (ends["n"] * width)
+    out = grid.select("bin", (ends["lo"] + (F.col("bin") + 0.5) * width).alias("centre"), density.alias("density"))
+    # as many rows as bins, whose number grows with the cube root of the rows
+    upto = Window.partitionBy(F.lit(0)).orderBy("bin")
+    out = out.withColumn("cumulated", F.sum(F.col("density") * width).over(upto))
+    return out if threshold is None else out.filter(F.col("centre") <= threshold)
+
+
+def ppm_a_apost(components: DataFrame, by: list[str], alpha: float = 0.05, rounds: int = 60) -> DataFrame:
+    """(by, ppm): the value that a mixture exceeds with probability ``alpha``; components have mean, variance, prop.
+
+    Bisection inside one expression over a group's few components.
+    """
+    parts = components.groupBy(*by).agg(
+        F.collect_list(F.struct("mean", F.sqrt(F.greatest("variance", F.lit(1e-6))).alias("sd"), "prop")).alias("c"),
+        F.min(F.col("mean") - 40 * F.sqrt("variance") - 1).alias("lo"),
+        F.max(F.col("mean") + 40 * F.sqrt("variance") + 1).alias("hi"),
+    )
 
-    @F.pandas_udf("double")
-    def cdf(values: pd.Series) -> pd.Series:
-        return pd.Series(normal_cdf(values.to_numpy()))
+    def halve(s: Column, _: Column) -> Column:
+        mid = (s["lo"] + s["hi"]) / 2
+        above = F.aggregate("c", F.lit(0.0), lambda t, x: t + x["prop"] * (1.0 - phi((mid - x["mean"]) / x["sd"]))) > alpha
+        return F.struct(F.when(above, mid).otherwise(s["lo"]).alias("lo"), F.when(above, s["hi"]).otherwise(mid).alias("hi"))
 
-    return cdf(x)
+    ends = F.struct(F.col("lo").alias("lo"), F.col("hi").alias("hi"))
+    return parts.select(*by, F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), ends, halve, lambda s: (s["lo"] + s["hi"]) / 2).alias("ppm"))
 
 
 def gm_mean(means: Column, props: Column) -> Column:
@@ -144,6 +217,32 @@ def log_normal(mean: float, variance: float, seed: int) -> Column:
     return F.exp(F.randn(seed) * math.sqrt(s2) + (math.log(mean) - s2 / 2))
 
 
+def gamma(mean: float, variance: float, seed: int) -> Column:
+    """Gamma law of a whole shape mean^2 / variance (rounded, 1 at least), as a sum of exponentials; its mean is kept."""
+    shape = max(1, round(mean * mean / variance))
+    return sum((-F.log(1.0 - F.rand(seed + i)) for i in range(shape)), F.lit(0.0)) * (mean / shape)
+
+
+def beta(a: int, b: int, seed: int) -> Column:
+    """Beta law of whole shapes, from two gamma draws."""
+    x, y = gamma(a, a, seed), gamma(b, b, seed + a)
+    return x / (x + y)
+
+
+def truncated_normal(low: float, high: float, seed: int) -> Column:
+    """Standard normal law between two bounds, by bisection of its distribution function at a uniform draw."""
+    u, ends = F.rand(seed), F.struct(F.lit(low).cast("double").alias("lo"), F.lit(high).cast("double").alias("hi"))
+    p_low, p_high = (0.5 * math.erfc(-x / math.sqrt(2)) for x in (low, high))
+    goal = u * (p_high - p_low) + p_low
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = (s["lo"] + s["hi"]) / 2
+        above = phi(mid) > goal
+        return F.struct(F.when(above, s["lo"]).otherwise(mid).alias("lo"), F.when(above, mid).otherwise(s["hi"]).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(60)), ends, halve, lambda s: (s["lo"] + s["hi"]) / 2)
+
+
 def gm_sample(means: list[float], variances: list[float], props: list[float], seed: int) -> Column:
     """Draws of a Gaussian mixture."""
     u, upto, out = F.rand(seed), np.cumsum(props), None

@@ -11,7 +11,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridsignal.session import ensure_checkpoint_dir, written
@@ -221,3 +221,49 @@ def mesh_contour(triangles: DataFrame, labels: DataFrame, node: str = "node", la
     for c in "abc":
         out = out.join(labels.select(F.col(node).alias(c), F.col(label).alias(f"_{c}")), c)
     return out.filter("_a <> _b OR _b <> _c").select(*triangles.columns)
+
+
+def largest_component(edges: DataFrame, nodes: DataFrame, node: str = "node") -> DataFrame:
+    """Nodes of the component that has most of them, ties to the one with the smallest node."""
+    out = written(connected_components(edges, nodes.select(F.col(node).alias("node"))))
+    best = out.groupBy("component").agg(F.count(F.lit(1)).alias("n")).agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("component"))  # one row
+    return out.join(F.broadcast(best), "component").select(F.col("node").alias(node))
+
+
+def sub_mesh(coords: DataFrame, triangles: DataFrame, centre: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """Coordinates and triangles of the nodes within ``radius`` steps of ``centre``, numbered anew from 0 in their order."""
+    from gridsignal.operators.ranking import global_row_number
+
+    root = coords.sparkSession.createDataFrame([(centre,)], "node long")
+    near = breadth_first(mesh_edges(triangles), root, radius)
+    new = written(global_row_number(near.select("node"), ["node"], "new"))
+    out = triangles
+    for c in "abc":
+        out = out.join(new.select(F.col("node").alias(c), F.col("new").alias(f"_{c}")), c)
+    return coords.join(new, "node").drop("node").withColumnRenamed("new", "node"), out.select(*[F.col(f"_{c}").alias(c) for c in "abc"])
+
+
+def pooled(edges: DataFrame) -> DataFrame:
+    """Edges with their nodes numbered from 0 in the order of the nodes."""
+    from gridsignal.operators.ranking import global_row_number
+
+    ends = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
+    new = written(global_row_number(ends, ["node"], "new"))
+    a, b = new.select(F.col("node").alias("src"), F.col("new").alias("_a")), new.select(F.col("node").alias("dst"), F.col("new").alias("_b"))
+    return edges.join(a, "src").join(b, "dst").select(F.col("_a").alias("src"), F.col("_b").alias("dst"))
+
+
+def centred_at(offsets: DataFrame, axes: list[str], place: dict[str, int], shape: dict[str, int], wraps: bool = False) -> DataFrame:
+    """Cells of a mask of offsets put at ``place``: those inside ``shape``, or at the opposite edge if it ``wraps``."""
+    out = offsets
+    for a in axes:
+        moved = F.col(a) + place[a]
+        if wraps:
+            moved = F.when(moved < 0, shape[a] - 1).when(moved >= shape[a], 0).otherwise(moved)
+        out = out.withColumn(a, moved.cast("int")).filter(F.col(a).between(0, shape[a] - 1))
+    return out
+
+
+def distance(a: list[Column], b: list[Column]) -> Column:
+    """Euclidean distance of two places."""
+    return F.sqrt(sum(((x - y) * (x - y) for x, y in zip(a, b, strict=True)), F.lit(0.0)))

@@ -201,6 +201,12 @@ def round_n_parcels(n: int) -> int:
     return int(round(n / step) * step)
 
 
+def rounded_count(n: Column) -> Column:
+    """``round_n_parcels`` of a column."""
+    step = F.when(n >= 100, 100).when(n >= 10, 10).otherwise(1)
+    return (F.rint(n / step) * step).cast("long")
+
+
 def with_ranks(df: DataFrame, parcel: str, order: list[str]) -> DataFrame:
     """Add ``rank`` (from 1) of each row in its parcel."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(parcel).orderBy(*order)))

@@ -42,4 +42,4 @@ def axis_mean_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("l_returnflag", "l_linestatus", F.round(F.coalesce("m", F.lit(0.0)), 4).alias("mean_qty"), F.round(F.coalesce("s", F.lit(0.0)), 4).alias("std_qty"))
 
 
-from gridsignal.plans import array_queries, event_queries, graph_queries, model_queries, volume_queries  # noqa: E402, F401
+from gridsignal.plans import array_queries, axis_queries, event_queries, graph_queries, model_queries, paradigm_queries, shape_queries, volume_queries  # noqa: E402, F401
