@@ -16,9 +16,3 @@ for _name in MODULES:
     _module = importlib.import_module(f"gridsignal.llm.{_name}")
     QUERIES.update(_module.QUERIES)
     ORACLES.update(getattr(_module, "ORACLES", {}))
-
-import corpus_pipeline  # noqa: E402
-
-QUERIES["pipeline"] = corpus_pipeline.run
-if corpus_pipeline.ORACLE_SQL is not None:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
