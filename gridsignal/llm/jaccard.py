@@ -8,17 +8,18 @@ single first-level parts, which needs the fewest signatures). P is so large that
 with a chance of 1e-7; then an agreeing part with elements exists and empty parts need no signature. Sets with more
 empty parts share one more signature among them, so no pair is lost.
 
-Work is done on one set for each text: copies are grouped first and only carry their group's component. Signatures that
+Work is done on one set for each text: copies are grouped first and only carry their group's component. Signatures
 that no other set has are filtered out by the sketch (see ``parts``). Two linked sets agree on P - k parts, so on
 P - k - (its empty parts) that aren't empty, for either of the two; a set may thus leave out its most frequent signatures, one less
 than that, and linked sets still share one (prefix filtering). So passages that many texts have draw no texts together
 that share little else. Then
   1. in each signature's group the set with most shared signatures is the centre; each set is compared with the centre
      that it shares most signatures with, which is one pair a set, and links give components;
-  2. sets that hang together by shared signatures make a cluster; only where a cluster still spans several components,
-     sets outside its largest one are compared with the rest, in blocks of bounded size: first on the parts' numbers
-     and sizes, whose differences bound d from below, then exactly.
-Every pair that shares a signature is thus compared, ruled out by a bound, or already in one component.
+  2. a centre's group has the sets of all signatures that it is the centre of; only groups that still span several
+     components are looked at again: sets outside a group's largest component are compared with the rest of the group, in
+     blocks of bounded size: first on the parts' numbers and sizes, whose differences bound d from below, then exactly.
+Every pair that shares a signature is thus compared, ruled out by a bound, or already in one component. Sets that hang
+together only by a chain of signatures never meet.
 
 Defined results: null and empty texts have no shingles, link with nothing and are their own component; texts of fewer
 than n words have one shingle, their whole sequence; equal rows link; a null id counts as larger than every other and
@@ -37,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsignal.llm.parts import MESSAGE, Sketch, in_parts, merge_sketches, part_count, squeeze_sorted, table, unsqueeze_sorted
+from gridsignal.llm.parts import MESSAGE, Sketch, by_shard, in_parts, merge_sketches, part_count, squeeze_sorted, table, unsqueeze_sorted
 from gridsignal.llm.text import Words, mixed, ngrams, same_row
 from gridsignal.operators.graph import connected_components
 from gridsignal.session import written
@@ -52,6 +53,8 @@ NO_ID = (1 << 63) - 1
 BROADCAST_ROWS = 1_000_000
 #: Shingles that a task keeps unpacked, about.
 OPEN_SHINGLES = 4_000_000
+#: Bytes of text in a part: a set has hundreds of signatures, so parts are smaller than elsewhere.
+SIGNATURE_PART_BYTES = 4 << 20
 #: Sets of a block in the second comparison.
 BLOCK = 4096
 
@@ -159,10 +162,10 @@ def signature_table(docs: DataFrame, text_col: str, n: int, p: int, q: int) -> D
 
     ``docs``: id, copy_of (a digest of the text), text. Copies are told apart by their ids, which travel to the parts.
     """
-    parts = part_count(docs, text_col)
+    parts = part_count(docs, text_col, SIGNATURE_PART_BYTES)
     # new columns throughout: a cogroup's two sides may not share any
-    chosen = in_parts(docs.groupBy("copy_of").agg(F.min("id").alias("id")).select(F.concat("copy_of", F.lit("")).alias("copy_of"), "id"), parts, "id")
-    parted = in_parts(docs, parts, "id")
+    chosen = in_parts(docs.groupBy("copy_of").agg(F.min("id").alias("id")).select(F.concat("copy_of", F.lit("")).alias("copy_of"), "id"), parts, "id", "copy_of")
+    parted = in_parts(docs, parts, "id", "copy_of")
 
     def chosen_rows(data: pa.Table, wanted: pa.Table) -> pa.Table:
         data = data.combine_chunks()
@@ -223,7 +226,7 @@ def signature_table(docs: DataFrame, text_col: str, n: int, p: int, q: int) -> D
 
     by_part = parted.groupBy("part")
     sketches = by_part.cogroup(chosen.groupBy("part")).applyInArrow(sketch, MESSAGE)
-    estimates = sketches.groupBy("shard").applyInArrow(lambda asked: table(merge_sketches(asked, SKETCH, SKETCH_WIDTH, SKETCH_DEPTH)), MESSAGE)
+    estimates = by_shard(sketches, parts).applyInArrow(lambda asked: table(merge_sketches(asked, SKETCH, SKETCH_WIDTH, SKETCH_DEPTH)), MESSAGE)
     both = estimates.select("part", "kind", "n", "a", F.col("shard"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("copy_of"))
     none = [F.lit(None).cast(t).alias(c) for c, t in (("kind", "int"), ("n", "int"), ("a", "binary"), ("shard", "int"))]
     both = both.unionByName(chosen.select("part", *none, "id", "copy_of"))
@@ -310,19 +313,31 @@ class Unit:
         return other
 
 
+def open_groups(stars: DataFrame, placed: DataFrame) -> DataFrame:
+    """(grp, set, component): the members of centres' groups that span several components.
+
+    ``stars``: src, dst (a centre); ``placed``: set, component. A centre's group has all sets that share a signature whose
+    centre it is, so any two sets of one signature meet in its centre's group.
+    """
+    members = stars.select(F.col("dst").alias("grp"), F.col("src").alias("set")).union(stars.select("dst", "dst").distinct())
+    members = written(members.join(placed, "set", "left").select("grp", "set", F.coalesce("component", "set").alias("component")))
+    spread = members.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("grp")
+    return members.join(spread, "grp", "left_semi")
+
+
 def remaining_links(members: DataFrame, base: DataFrame, p: int, q: int) -> DataFrame:
-    """Links (src, dst) that join sets of different components of a cluster; enough of them to join all that are linked.
+    """Links (src, dst) that join sets of different components of a group; enough of them to join all that are linked.
 
-    ``members``: cluster, set, size, band, component, profile0, profile1. An instance serves its own band by the first
-    profile and the band before by the second; two sets of one band meet in their own instance only. Where a cluster's
+    ``members``: grp, set, component, size, band, profile0, profile1. An instance serves its own band by the first
+    profile and the band before by the second; two sets of one band meet in their own instance only. Where a group's
     sets of an instance lie in several components, those outside the largest are compared with all others, in pairs of
     blocks; each pair of blocks is one unit of work. Sets that share no signature differ in every part, so the bound
     rules them out too. A first pass finds the sets that some partner is left for; only these sets' shingles move, and
     a second pass compares them exactly, pairs already joined inside the unit left out.
     """
     slots = F.array(F.struct(F.col("band").alias("inst"), F.lit(True).alias("own"), F.col("profile0").alias("profile")), F.struct((F.col("band") + 1).alias("inst"), F.lit(False).alias("own"), F.col("profile1").alias("profile")))
-    members = members.select("cluster", "set", "size", "component", F.explode(slots).alias("s")).select("cluster", "s.inst", "set", "size", "component", "s.own", "s.profile").filter("profile IS NOT NULL")
-    group = ["cluster", "inst"]
+    members = members.select("grp", "set", "size", "component", F.explode(slots).alias("s")).select("grp", "s.inst", "set", "size", "component", "s.own", "s.profile").filter("profile IS NOT NULL")
+    group = ["grp", "inst"]
     kinds = members.groupBy(*group, "component").agg(F.count(F.lit(1)).alias("m"))
     split = kinds.groupBy(*group).agg(F.count(F.lit(1)).alias("kinds"), F.sum("m").alias("all"), F.max(F.struct("m", "component")).alias("largest")).filter("kinds > 1")
     blocks = lambda n: (F.floor(n / BLOCK) + 1).cast("int")
@@ -397,10 +412,11 @@ def distinctive(base: DataFrame) -> DataFrame:
     return kept.select("set", F.size("sigs").alias("rank"), F.explode("sigs.sig").alias("sig"))
 
 
-def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, p: int = NUMERATOR, q: int = DENOMINATOR) -> DataFrame:
-    """One row for each row of ``docs``: id_col, n_shingles, component_id."""
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    docs = docs.withColumn("copy_of", F.md5("text"))
+def text_components(docs: DataFrame, n: int = SHINGLE, p: int = NUMERATOR, q: int = DENOMINATOR) -> DataFrame:
+    """One row for each different text of ``docs`` (id, copy_of, text): id (its least), copy_of, size (of its set), group.
+
+    Texts of one ``group`` hang together by links; copies of a text without shingles are linked with nothing.
+    """
     base = signature_table(docs, "text", n, p, q)
     # numbered by id and digest, which name a text even where ids repeat
     base = written(base.withColumn("set", F.xxhash64("id", "copy_of")))
@@ -409,18 +425,26 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     stars = written(sigs.join(groups, "sig").filter("set <> centre").groupBy(F.col("set").alias("src"), F.col("centre").alias("dst")).agg(F.count(F.lit(1)).alias("shared")))
     nearest = stars.groupBy("src").agg(F.max_by("dst", F.struct("shared", -F.col("dst"))).alias("dst"))
     links = written(verified(nearest, base, p, q))
-    # a cluster: sets that hang together by shared signatures, linked or not
-    clusters = connected_components(stars.select("src", "dst")).withColumnRenamed("component", "cluster")
-    found = connected_components(links).withColumnRenamed("node", "_node")
-    placed = clusters.join(found, F.col("node") == F.col("_node"), "left").select("cluster", F.col("node").alias("set"), F.coalesce("component", "node").alias("component"))
+    found = connected_components(links).withColumnRenamed("node", "set")
     profile = base.filter(F.col("shingles").isNotNull()).select("set", "size", "band", "profile0", "profile1")
-    members = placed.join(profile, "set")
+    members = open_groups(stars, found).join(profile, "set")
     more = remaining_links(members, base, p, q)
     final = connected_components(links.union(more))
-    sets = base.select("set", "id", "copy_of", "size").join(final, F.col("set") == F.col("node"), "left").withColumn("group", F.coalesce("component", "set"))
+    return base.select("set", "id", "copy_of", "size").join(final, F.col("set") == F.col("node"), "left").select("id", "copy_of", "size", F.coalesce("component", "set").alias("group"))
+
+
+def with_digest(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, copy_of, text): a null id as the largest number, a null text as an empty one; ``copy_of`` tells texts apart."""
+    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return docs.withColumn("copy_of", F.md5("text"))
+
+
+def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, p: int = NUMERATOR, q: int = DENOMINATOR) -> DataFrame:
+    """One row for each row of ``docs``: id_col, n_shingles, component_id."""
+    docs = with_digest(docs, id_col, text_col)
+    sets = written(text_components(docs, n, p, q))
     least = sets.groupBy("group").agg(F.min("id").alias("component_id"))
     per_text = sets.join(least, "group").select("copy_of", "size", "component_id")
-    # copies of a text without shingles are linked with nothing
     out = docs.select("id", "copy_of").join(per_text, "copy_of")
     real = lambda c: F.when(c != NO_ID, c)
     component = F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("id"))
