@@ -31,18 +31,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by shingles (five words, similarity 0.8) one row stays: one with the smallest id, null last.
 
-    Ids may repeat or be null, so rows get keys of their own, written once so that every later read sees the same.
+    Rows go by id and digest of the text, so ids may repeat or be null. Texts without words are linked with nothing and
+    all stay, repeated rows included.
     """
-    keyed = written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row_key")))
-    found = jaccard.similarity_components(keyed, id_col="row_key", n=5, p=4, q=5).select("row_key", "component_id")
-    place = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
-    groups = written(found.join(keyed.select("row_key", "doc_id"), "row_key"))
-    first = groups.groupBy("component_id").agg(F.min(place)["row_key"].alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    docs = docs.select(*COLUMNS)
+    named = jaccard.with_digest(docs, "doc_id", "text")
+    texts = written(jaccard.text_components(named, n=5, p=4, q=5).filter("size > 0").select("copy_of", "group"))
+    rows = written(named.select("id", "copy_of").join(texts, "copy_of").groupBy("group", "id", "copy_of").agg(F.count(F.lit(1)).alias("n")))
+    first = rows.groupBy("group").agg(F.min(F.struct("id", "copy_of")).alias("first"), F.count(F.lit(1)).alias("kinds"))
     # groups of one row lose nothing
-    gone = written(groups.join(first, "component_id").filter("row_key <> first").select("row_key"))
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return keyed.join(gone, "row_key", "left_anti").select(*COLUMNS)
+    stays = F.struct("id", "copy_of") == F.col("first")
+    marked = rows.join(first, "group").filter("kinds > 1 OR n > 1").select("id", "copy_of", stays.alias("stays"), "n")
+    marked = written(marked.filter("NOT stays OR n > 1").select("id", "copy_of", "stays"))
+    if marked.count() <= BROADCAST_ROWS:
+        marked = F.broadcast(marked)
+    keyed = docs.withColumn("id", F.coalesce("doc_id", F.lit(jaccard.NO_ID))).withColumn("copy_of", F.md5(F.coalesce("text", F.lit(""))))
+    placed = keyed.join(marked, ["id", "copy_of"], "left")
+    once = placed.filter("stays").dropDuplicates(["id", "copy_of"])
+    return placed.filter("stays IS NULL").unionByName(once).select(*COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
