@@ -74,7 +74,7 @@ class KneserNeyPair:
             kinds = np.bincount(at, minlength=len(keys)).astype(float)
             opening = keys <= mask >> 8 if keep > 1 else np.zeros(len(keys), bool)
             own = np.bincount(at, pooled, len(keys))
-            count = np.where(opening, np.minimum(own, 1e6), kinds)
+            count = np.where(opening, own, kinds)
             ctx, of = np.unique(keys >> 8, return_inverse=True)
             total = np.bincount(of, count, len(ctx))
             freed = np.bincount(of, np.minimum(count, discount), len(ctx))
