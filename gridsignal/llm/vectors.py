@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors in a block, and queries that a block's task searches at once (both about).
-BLOCK_ROWS, BLOCK_QUERIES = 8192, 4096
+#: Vectors in a block at most, and in a block of a table too small to give ``BLOCKS`` larger ones (all about).
+BLOCK_ROWS, LEAST_ROWS, BLOCKS = 65536, 8192, 64
+#: Queries that one task puts to its block; beyond, the block is copied.
+BLOCK_QUERIES = 131072
 
-#: search(vectors, vec_ids, queries, query_ids) -> (query index, row index, score) of each block's best rows
-Search = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+#: index(vectors, vec_ids) -> search; search(queries, query_ids) -> (query index, row index, score) of the block's best rows
+Search = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+Index = Callable[[np.ndarray, np.ndarray], Search]
 
 
 def valid_vectors(df: DataFrame, id_col: str, vector_col: str, nonzero: bool = False) -> DataFrame:
@@ -44,33 +47,51 @@ def widened(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (a, b))
 
 
-def search_blocks(rows: DataFrame, is_query, k: int, search: Search, score_type: str) -> DataFrame:
+def search_blocks(rows: DataFrame, is_query, k: int, index: Index, score_type: str) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` best rows of each query, ties to the smaller vec_id.
 
-    Rows are dealt to blocks by a hash, queries to groups; each (block, group) is one task's work of bounded size,
-    whatever the table holds, and returns at most k rows a query. A repeated query id is searched once; rows with the
-    query's own id are no candidates.
+    Rows are dealt to blocks of bounded size, copies of one row too. A task has one block: it reads the block's rows
+    first and indexes them once, then the queries stream past in batches, so its memory doesn't grow with their number.
+    A row is copied only for every ``BLOCK_QUERIES`` queries, a query goes to each block, and a block returns at most k
+    rows a query. A repeated query id is searched once; rows with the query's own id are no candidates.
     """
+    sizes = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(is_query).alias("queries")).first()
+    blocks = max(1, -(-sizes["rows"] // BLOCK_ROWS), min(BLOCKS, sizes["rows"] // LEAST_ROWS))
+    slices = max(1, -(-sizes["queries"] // BLOCK_QUERIES))
+    dealt = F.pmod(F.xxhash64("vec_id", "vector", F.monotonically_increasing_id()), F.lit(blocks))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    data = rows.select("vec_id", "vector", dealt.alias("block"), F.lit(False).alias("asked")).select("*", every(slices).alias("slice"))
     queries = rows.filter(is_query).dropDuplicates(["vec_id"])
-    n_rows, n_queries = rows.count(), queries.count()
-    blocks, groups = max(1, -(-n_rows // BLOCK_ROWS)), max(1, -(-n_queries // BLOCK_QUERIES))
-    salted = F.xxhash64("vec_id", "vector")
-    left = rows.select("vec_id", "vector", F.pmod(salted, F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("query_group"))
-    right = queries.select("vec_id", "vector", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("query_group"))
-
-    def run(data: pa.Table, asked: pa.Table) -> pa.Table:
-        if not data.num_rows or not asked.num_rows:
-            q = r = np.zeros(0, np.int64)
-            score = np.zeros(0)
-            ids = asked_ids = np.zeros(0, np.int64)
-        else:
-            x, y = widened(matrix(data.column("vector")), matrix(asked.column("vector")))
-            ids, asked_ids = data.column("vec_id").to_numpy(), asked.column("vec_id").to_numpy()
-            q, r, score = search(x, ids, y, asked_ids)
-        kind = pa.int64() if score_type == "long" else pa.float64()
-        return pa.table({"query_id": pa.array(asked_ids[q], pa.int64()), "vec_id": pa.array(ids[r], pa.int64()), "score": pa.array(score, kind)})
-
-    found = left.groupBy("block", "query_group").cogroup(right.groupBy("block", "query_group")).applyInArrow(run, f"query_id long, vec_id long, score {score_type}")
+    asked = queries.select("vec_id", "vector", every(blocks).alias("block"), F.lit(True).alias("asked"), F.pmod(F.xxhash64("vec_id"), F.lit(slices)).alias("slice"))
+    both = data.unionByName(asked).select("vec_id", "vector", "asked", (F.col("block") * slices + F.col("slice")).cast("int").alias("task"))
+    kind = pa.float64() if score_type == "double" else pa.decimal128(38, 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        ids, search = np.zeros(0, np.int64), None
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            asks = part.column("asked").to_numpy()
+            held += [part.filter(~asks)] if not asks.all() else []
+            if not asks.any():
+                continue
+            if held:
+                block = pa.concat_tables(held).combine_chunks()
+                ids, held = block.column("vec_id").to_numpy(), []
+                search = index(matrix(block.column("vector")), ids)
+            if search is None:
+                continue
+            now = part.filter(asks)
+            for at in range(0, now.num_rows, 1024):
+                some = now.slice(at, 1024)
+                own = some.column("vec_id").to_numpy()
+                q, r, score = search(matrix(some.column("vector")), own)
+                out = [pa.array(own[q], pa.int64()), pa.array(ids[r], pa.int64()), pa.array(score).cast(kind) if isinstance(score, np.ndarray) else pa.array(score, kind)]
+                yield pa.RecordBatch.from_arrays(out, ["query_id", "vec_id", "score"])
+
+    # a partition is a task's block, rows before queries
+    placed = both.repartitionById(blocks * slices, F.col("task")).sortWithinPartitions("asked")
+    found = placed.mapInArrow(run, f"query_id long, vec_id long, score {score_type}")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -77,3 +77,53 @@ def test_few_candidates_and_none(spark, table):
         assert [r["vec_id"] for r in search(few, F.col("vec_id") % 50 == 0).orderBy("rank").collect()] == [2, 1]
         assert search(few.limit(0), F.col("vec_id") % 50 == 0).isEmpty()
         assert search(few.filter("vec_id = 0"), F.col("vec_id") % 50 == 0).isEmpty()
+
+
+def exact_best(own, q, k=5):
+    """The k best by plain integers; ``own`` is a list of (id, parts), ids may repeat."""
+    ask = next(v for i, v in own if i == q)
+    return sorted(((sum(a * b for a, b in zip(ask, v, strict=True)), i) for i, v in own if i != q), key=lambda x: (-x[0], x[1]))[:k]
+
+
+@pytest.mark.parametrize("size", [1e7, 1e12, 1e290])
+def test_top_k_with_large_parts(spark, size):
+    r = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in size * (3 + 1e-9 * r.standard_normal(16))]) for i in range(200)]
+    own = [(i, [int(math.floor(256 * x)) for x in v]) for i, v in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ranked(topk.top_k(df, F.col("vec_id") % 50 == 0).collect())
+    assert set(got) == {0, 50, 100, 150}
+    for q, found in got.items():
+        best = exact_best(own, q)
+        if size < 1e20:
+            assert [i for i, _ in found] == [i for _, i in best]
+        assert [s for _, s in found] == [min(s, 2**63 - 1) for s, _ in best]
+
+
+def test_integer_path_ranks_like_plain_integers():
+    x = np.floor(256 * 1e100 * (3 + 1e-15 * np.random.default_rng(7).standard_normal((1500, 8))))
+    own = [(i, [int(v) for v in row]) for i, row in enumerate(x)]
+    rows, score = topk.MTree(x).search(x[4], 5, np.arange(1500), 4)
+    assert list(zip(score, rows.tolist(), strict=True)) == exact_best(own, 4)
+
+
+@pytest.mark.parametrize("search", [topk.top_k, ann.nearest])
+def test_repeated_rows(spark, search):
+    """A row is a candidate as often as it occurs; a repeated query id is searched once."""
+    rows = [(0, [1.0, 0.0])] * 3 + [(1, [1.0, 0.1])] * 4 + [(2, [0.5, 0.5])] * 400 + [(50, [0.0, 1.0])]
+    got = ranked(search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), F.col("vec_id") % 50 == 0).collect())
+    assert [i for i, _ in got[0]] == [1, 1, 1, 1, 2]
+    assert [i for i, _ in got[50]] == [2, 2, 2, 2, 2]
+
+
+def test_large_copies_of_one_row_are_dealt_to_all_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 100)
+    rows = spark.range(1000).select(F.lit(7).cast("long").alias("vec_id"), F.array(F.lit(1.0)).alias("vector"))
+    seen = vectors.search_blocks(rows, F.col("vec_id") == 7, 2000, lambda x, ids: lambda y, own: (np.zeros(1, int), np.zeros(1, int), np.array([float(len(x))])), "double").collect()
+    assert len(seen) == 10 and max(r["score"] for r in seen) < 250
+
+
+def test_tables_of_queries_only_and_longer_queries(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0, 3.0]), (1, [1.0, 1.0]), (2, [2.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r)[2:] for r in topk.top_k(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 256 * 256 * 3), (2, 256 * 256 * 2)]
+    assert [r["vec_id"] for r in ann.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [1, 2]
