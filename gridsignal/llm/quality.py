@@ -8,7 +8,8 @@ With two classes the softmax depends on the difference of the classes' outputs o
 text's features, of (vector . difference of the output weights). Scoring so needs one number for each table entry.
 
 Defined results: null and empty texts have the average 0 and the score of the layer's bias; without labels of both
-classes every score is 0.5; repeated rows are scored alike; extra columns are ignored.
+classes every score is 0.5; repeated rows are scored alike; a score equal to the cut is predicted 1; extra columns are
+ignored. A text of any length is scored whole, in memory in proportion to it alone.
 """
 
 from __future__ import annotations

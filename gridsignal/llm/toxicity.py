@@ -5,14 +5,17 @@ that ends it, from up to ORDER - 1 bytes before it, none from before the word. T
 counts; the orders below are shared: Kneser-Ney continuation counts (how many different bytes precede an n-gram) pooled
 over the classes. An expression that is rare in one class thus backs off to what both classes know, and only well-seen
 spellings tell the classes apart. A text's feature is the difference of its log-likelihoods divided by its number of
-words; a logistic curve fitted on the training rows makes it a score.
+words and SHORT more, so that one odd spelling doesn't decide on a text of few words; a logistic curve fitted on the
+training rows makes it a score.
 
 As the backoff distribution is shared, an n-gram unseen in both classes contributes log(backoff weight toxic / ordinary)
 of its context only. The model is thus two sorted tables: n-gram -> contribution, context -> contribution. Its size is
 bounded by the sample: at most ``max_rows`` labelled rows a class.
 
-Defined results: null and empty texts have feature 0 and the score that goes with it; without labels of both classes
-every score is the share of toxic rows (0.5 with no labels); repeated rows are scored alike; extra columns are ignored.
+Defined results: null and empty texts have feature 0 and the score that goes with it; without labels, or if all labelled
+texts are empty, every score is 0.5; with labels of one class only, 1 - 1e-13 (toxic) or 1e-13; repeated rows are scored
+alike; a score equal to the cut is predicted toxic; extra columns are ignored. A text of any length is scored in pieces
+of memory in proportion to it alone.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from gridsignal.llm.labelled import Bytes, chunks, fold, logistic, read, scored,
 
 ORDER = 4
 DISCOUNT = 0.75
+#: Words added to each text's number of words.
+SHORT = 20
 #: Labelled rows of a class that are used at most (about; chosen by hash).
 MAX_ROWS = 20_000
 CUT = 0.7
@@ -63,7 +68,7 @@ class KneserNeyPair:
     def _shared(gram: np.ndarray, pooled: np.ndarray, discount: float) -> np.ndarray:
         """Pooled probability of each n-gram's last byte given all but the first byte of its context.
 
-        An n-gram that opens a word has no byte to drop before the space; its own pooled counts then serve.
+        No byte stands before the space that opens a word; n-grams from there on have their own pooled counts.
         """
         probability = np.full(len(gram), 1 / 256)
         for keep in (1, 2, 3):
@@ -72,7 +77,7 @@ class KneserNeyPair:
             # continuation count: different longer n-grams that end in this one
             keys, at = np.unique(short, return_inverse=True)
             kinds = np.bincount(at, minlength=len(keys)).astype(float)
-            opening = keys <= mask >> 8 if keep > 1 else np.zeros(len(keys), bool)
+            opening = (keys <= mask >> 8) | (keys >> (8 * (keep - 1)) == 0x20) if keep > 1 else np.zeros(len(keys), bool)
             own = np.bincount(at, pooled, len(keys))
             count = np.where(opening, own, kinds)
             ctx, of = np.unique(keys >> 8, return_inverse=True)
@@ -83,7 +88,7 @@ class KneserNeyPair:
         return probability
 
     def feature(self, texts: pa.Array) -> np.ndarray:
-        """Difference of the log-likelihoods over the number of words, for each text."""
+        """Difference of the log-likelihoods over the number of words and SHORT, for each text."""
         b = Bytes(texts, lower=True)
         at = np.flatnonzero(b.real)
         gram = b.grams(self.order)[at]
@@ -99,7 +104,7 @@ class KneserNeyPair:
             values[rest[known]] = self.back_gain[j[known]]
         full = np.zeros(len(b.data))
         full[at] = values
-        return b.sums(full) / np.maximum(b.words, 1)
+        return b.sums(full) / (b.words + SHORT)
 
     def score(self, texts: pa.Array) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.feature(texts) + self.intercept, -500, 500)))
@@ -146,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep, max_rows: int = MAX_ROWS) -> K
 
     got = rows.mapInArrow(features, "x double, y int, weight double").toPandas()
     if got["y"].nunique() == 2:
-        model.slope, model.intercept = logistic(got["x"].to_numpy(), got["y"].to_numpy(float), got["weight"].to_numpy())
+        model.slope, model.intercept = logistic(got["x"].to_numpy(), got["y"].to_numpy(float), got["weight"].to_numpy(), ridge=1e-6)
     else:
         model.intercept = 30.0 if got["y"].max() == 1 else -30.0
     return model
