@@ -147,11 +147,14 @@ def gaussian_blur(spark: SparkSession, sf_dir: str) -> DataFrame:
     "resample_grid",
     f"""
     WITH {DAILY}, k AS (SELECT event_type, day AS t0, n AS v0, lead(day) OVER w AS t1, lead(n) OVER w AS v1 FROM d WINDOW w AS (PARTITION BY event_type ORDER BY day))
-    SELECT event_type, CAST(g AS DOUBLE) AS day, round(v0 + (g - t0) * (v1 - v0) / (t1 - t0), 6) AS n FROM k CROSS JOIN (SELECT 19724 + i * 0.5 AS g FROM range(20) r(i)) WHERE g >= t0 AND g < t1
+    SELECT event_type, CAST(g AS DOUBLE) AS day, round(v0 + (g - t0) * (v1 - v0) / (t1 - t0), 6) AS n FROM k CROSS JOIN (SELECT a + i * 0.5 AS g FROM (SELECT min(day) AS a, max(day) AS b FROM d), LATERAL (SELECT unnest(range(CAST(2 * (b - a) AS BIGINT))) AS i)) WHERE g >= t0 AND g < t1
     """,
 )
 def resample_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = signal.resampled(daily(spark, sf_dir), ["event_type"], "day", "n", [19724 + i * 0.5 for i in range(20)])
+    days = daily(spark, sf_dir)
+    ends = days.agg(F.min("day").alias("a"), F.max("day").alias("b")).first()
+    grid = [ends["a"] + i * 0.5 for i in range(int(2 * (ends["b"] - ends["a"])))] if ends["a"] is not None else []
+    out = signal.resampled(days, ["event_type"], "day", "n", grid)
     return out.select("event_type", "day", F.round("n", 6).alias("n"))
 
 

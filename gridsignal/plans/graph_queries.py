@@ -138,11 +138,11 @@ def mark_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select("doc_id", stats.mark_wrong_labels(F.col("quality"), F.col("toxic")).alias("mark"))
 
 
-NAMES = "f AS (SELECT o_orderpriority AS prefix, o_orderkey AS number FROM orders WHERE o_orderkey % 7 <> 0)"
+NAMES = "f AS (SELECT o_orderpriority AS prefix, o_orderkey AS number FROM orders)"
 
 
 def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "orders").filter("o_orderkey % 7 <> 0").select(F.concat("o_orderpriority", F.lit("_"), F.col("o_orderkey").cast("string"), F.lit(".nii")).alias("name"))
+    names = table(spark, sf_dir, "orders").select(F.concat("o_orderpriority", F.lit("_"), F.col("o_orderkey").cast("string"), F.lit(".nii")).alias("name"))
     return series.file_series(names).withColumn("prefix", F.rtrim("prefix", F.lit("_")))
 
 

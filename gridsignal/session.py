@@ -33,11 +33,15 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str = "spark-warehouse/
     """Make ``checkpoint()`` usable.
 
     The folder named by ``spark.checkpoint.dir`` is taken when the session has one; ``fallback`` (a local folder, for
-    single-machine sessions and tests) only when nothing is set.
+    single-machine sessions and tests) only when nothing is set. On a cluster, whose machines don't share local folders,
+    the setting must be there.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or fallback)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or fallback)
 
 
 def written(df: DataFrame) -> DataFrame:
