@@ -56,7 +56,7 @@ OPEN_SHINGLES = 4_000_000
 #: Bytes of text in a part: a set has hundreds of signatures, so parts are smaller than elsewhere.
 SIGNATURE_PART_BYTES = 4 << 20
 #: Sets of a block in the second comparison.
-BLOCK = 4096
+BLOCK = 1024
 
 
 @lru_cache
