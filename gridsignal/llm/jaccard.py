@@ -57,6 +57,8 @@ OPEN_SHINGLES = 4_000_000
 SIGNATURE_PART_BYTES = 4 << 20
 #: Sets of a block in the second comparison.
 BLOCK = 1024
+#: Tasks that share a group's rows where groups are too many to be sent to all tasks.
+SALTS = 16
 
 
 @lru_cache
@@ -313,6 +315,18 @@ class Unit:
         return other
 
 
+def with_few(rows: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join of rows (with a column ``set``) and a table of groups, each once, without a task for each group.
+
+    Few groups are sent to all tasks; beyond a count of BROADCAST_ROWS each group's rows are dealt to SALTS tasks by their set.
+    """
+    few = written(few)
+    if few.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(few), on)
+    few = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("set"), F.lit(SALTS)).cast("int")).join(few, [*on, "salt"]).drop("salt")
+
+
 def open_groups(stars: DataFrame, placed: DataFrame) -> DataFrame:
     """(grp, set, component): the members of centres' groups that span several components.
 
@@ -322,7 +336,7 @@ def open_groups(stars: DataFrame, placed: DataFrame) -> DataFrame:
     members = stars.select(F.col("dst").alias("grp"), F.col("src").alias("set")).union(stars.select("dst", "dst").distinct())
     members = written(members.join(placed, "set", "left").select("grp", "set", F.coalesce("component", "set").alias("component")))
     spread = members.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("grp")
-    return members.join(spread, "grp", "left_semi")
+    return with_few(members, spread, ["grp"])
 
 
 def remaining_links(members: DataFrame, base: DataFrame, p: int, q: int) -> DataFrame:
@@ -342,7 +356,7 @@ def remaining_links(members: DataFrame, base: DataFrame, p: int, q: int) -> Data
     split = kinds.groupBy(*group).agg(F.count(F.lit(1)).alias("kinds"), F.sum("m").alias("all"), F.max(F.struct("m", "component")).alias("largest")).filter("kinds > 1")
     blocks = lambda n: (F.floor(n / BLOCK) + 1).cast("int")
     split = split.select(*group, F.col("largest.component").alias("major"), blocks(F.col("all") - F.col("largest.m")).alias("lefts"), blocks(F.col("all")).alias("rights"))
-    members = members.join(split, group)
+    members = with_few(members, split, group)
     block = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), F.col("set")), F.col(n)).cast("int")
     left = members.filter("component <> major").withColumn("lb", block("lefts", 1)).withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("rights") - 1))).withColumn("left", F.lit(True))
     right = members.withColumn("rb", block("rights", 2)).withColumn("lb", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1))).withColumn("left", F.lit(False))

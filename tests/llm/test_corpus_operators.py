@@ -143,6 +143,14 @@ def test_components_against_brute_force(spark, docs, n, p, q):
     assert len({e[2] for e in expected}) < len(expected) - 40
 
 
+def test_components_of_many_groups_by_shuffles(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", -1)
+    texts = [t for s in range(4) for t in family(s, 25, 4 + 4 * s)]
+    table = spark.createDataFrame([(i, t, None, None, None, *EXTRA) for i, t in enumerate(texts)], SCHEMA)
+    got = sorted(map(tuple, jaccard.similarity_components(table).collect()), key=str)
+    assert got == sorted(plain_components(rows_of(table), 4, 85, 100), key=str)
+
+
 def test_bands_cover_all_pairs():
     first, k, parts = jaccard.bands(85, 100, 5000)
     assert all(a < b for a, b in zip(first[:-1], first[1:], strict=True)) and (parts > k).all()
