@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("sharding", "mixing", "toxicity", "quality", "packing", "topk", "ann", "substrings", "jaccard", "lm", "negatives")
+MODULES = ("sharding", "mixing", "toxicity", "quality", "packing", "topk", "ann", "substrings", "jaccard", "lm", "negatives", "chats", "repair")
 
 for _name in MODULES:
     _module = importlib.import_module(f"gridsignal.llm.{_name}")
