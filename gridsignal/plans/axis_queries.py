@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridsignal.cuboid import Cuboid
 from gridsignal.functions import expressions, trees
 from gridsignal.plans.array_queries import AXES, CELLS, SPENT, _by_customer, quantities
-from gridsignal.plans.registry import query
+from gridsignal.plans.register import query
 from gridsignal.session import table
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridsignal.functions import series, signal, stats
 from gridsignal.operators import events as ev
-from gridsignal.plans.registry import query
+from gridsignal.plans.register import query
 from gridsignal.session import table
 
 EVENTS = """

@@ -14,7 +14,7 @@ from gridsignal.functions.signal import polynomial_basis
 from gridsignal.operators import graph, models
 from gridsignal.operators.ranking import global_row_number
 from gridsignal.plans.event_queries import EVENTS, micros
-from gridsignal.plans.registry import query
+from gridsignal.plans.register import query
 from gridsignal.session import table
 
 SCANS, FIRST_DAY, DT = 120, 19723, 0.25

@@ -9,7 +9,7 @@ from gridsignal.operators import events as ev
 from gridsignal.operators import volumes
 from gridsignal.paradigm import Paradigm
 from gridsignal.plans.event_queries import EVENTS, onsets
-from gridsignal.plans.registry import query
+from gridsignal.plans.register import query
 
 #: Events that last as many seconds as their value says.
 LASTING = f"{EVENTS}, l AS (SELECT event_id, session, condition, onset, value AS duration FROM e), d AS (SELECT session, max(onset + duration) AS t_end FROM l GROUP BY 1)"

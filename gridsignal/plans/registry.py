@@ -2,44 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from gridsignal.plans import array_queries, axis_queries, event_queries, graph_queries, model_queries, paradigm_queries, shape_queries, volume_queries  # noqa: F401
+from gridsignal.plans.register import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from gridsignal.session import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, oracle: str | None = None):
-    """Register a query, with its SQL if there is one."""
-
-    def put(fn):
-        QUERIES[name] = fn
-        if oracle is not None:
-            ORACLES[name] = oracle
-        return fn
-
-    return put
-
-
-@query(
-    "axis_mean_expand",
-    """
-    WITH cells AS (SELECT l_returnflag, l_linestatus, avg(l_quantity) AS m, stddev_pop(l_quantity) AS s FROM lineitem GROUP BY 1, 2),
-         grid AS (SELECT a.l_returnflag, b.l_linestatus FROM (SELECT DISTINCT l_returnflag FROM lineitem) a, (SELECT DISTINCT l_linestatus FROM lineitem) b)
-    SELECT g.l_returnflag, g.l_linestatus, round(coalesce(m, 0), 4) AS mean_qty, round(coalesce(s, 0), 4) AS std_qty
-    FROM grid g LEFT JOIN cells c ON g.l_returnflag = c.l_returnflag AND g.l_linestatus = c.l_linestatus
-    """,
-)
-def axis_mean_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity")
-    cells = df.groupBy("l_returnflag", "l_linestatus").agg(F.avg("l_quantity").alias("m"), F.stddev_pop("l_quantity").alias("s"))
-    grid = df.select("l_returnflag").distinct().crossJoin(df.select("l_linestatus").distinct())
-    out = grid.join(cells, ["l_returnflag", "l_linestatus"], "left")
-    return out.select("l_returnflag", "l_linestatus", F.round(F.coalesce("m", F.lit(0.0)), 4).alias("mean_qty"), F.round(F.coalesce("s", F.lit(0.0)), 4).alias("std_qty"))
-
-
-from gridsignal.plans import array_queries, axis_queries, event_queries, graph_queries, model_queries, paradigm_queries, shape_queries, volume_queries  # noqa: E402, F401
+__all__ = ["ORACLES", "QUERIES"]

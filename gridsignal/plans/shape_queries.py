@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gridsignal.functions import series, signal, stats
 from gridsignal.operators import graph, parcellation, splitting
 from gridsignal.plans.graph_queries import GRID, grid
-from gridsignal.plans.registry import query
+from gridsignal.plans.register import query
 from gridsignal.session import table
 
 MESH = f"{GRID}, tri AS (SELECT c.node AS a, r.node AS b, u.node AS c FROM c JOIN c r ON r.x = c.x + 1 AND r.y = c.y JOIN c u ON u.x = c.x AND u.y = c.y + 1), me AS (SELECT DISTINCT src, dst FROM (SELECT unnest([a, b, a, c, b, c]) AS src, unnest([b, a, c, a, c, b]) AS dst FROM tri))"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridsignal.operators import volumes
 from gridsignal.plans.graph_queries import GRID, grid
-from gridsignal.plans.registry import query
+from gridsignal.plans.register import query
 from gridsignal.session import table
 from gridsignal.streaming.binning import binned
 
