@@ -358,12 +358,12 @@ ORACLES = {
               GROUP BY r.conv_id, r.i, s.t),
     best AS (SELECT c.conv_id, min(lpad(CAST(CAST(left(p.path, 9) AS INTEGER) + e.cost AS VARCHAR), 9, '0') || substr(p.path, 10) || e.edits) AS path
              FROM counts c JOIN paths p ON p.conv_id IS NOT DISTINCT FROM c.conv_id AND p.i = c.n JOIN inserts e ON e.f = p.state AND e.t IN (0, 3) GROUP BY c.conv_id),
-    letters AS (SELECT conv_id, unnest(string_split(substr(path, 10), '')) AS edit, unnest(range(length(path) - 9)) AS at FROM best WHERE length(path) > 9),
-    told AS (SELECT *, count(*) FILTER (edit <> 'I') OVER w AS i, count(*) FILTER (edit <> 'D') OVER w AS e FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY at)),
+    letters AS (SELECT conv_id, unnest(string_split(substr(path, 10), '')) AS edit, unnest(range(length(path) - 9)) AS place FROM best WHERE length(path) > 9),
+    told AS (SELECT *, count(*) FILTER (edit <> 'I') OVER w AS i, count(*) FILTER (edit <> 'D') OVER w AS e FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY place)),
     filled AS (SELECT t.*, r.role, r.text, r.ini, max(CASE WHEN edit = 'K' AND ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY t.conv_id) AS s
                FROM told t LEFT JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM t.conv_id AND r.i = t.i AND t.edit <> 'I' WHERE edit <> 'D'),
-    lines AS (SELECT conv_id, at, CASE WHEN edit = 'K' THEN role WHEN (e - s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, '') AS line FROM filled),
-    repaired AS (SELECT conv_id, sha256(string_agg(line, chr(10) ORDER BY at)) AS sha FROM lines GROUP BY conv_id)
+    lines AS (SELECT conv_id, place, CASE WHEN edit = 'K' THEN role WHEN (e - s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, '') AS line FROM filled),
+    repaired AS (SELECT conv_id, sha256(string_agg(line, chr(10) ORDER BY place)) AS sha FROM lines GROUP BY conv_id)
     SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
            CAST(coalesce(left(path, 9), '0') AS BIGINT) AS cost, coalesce(substr(path, 10), '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
     FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
