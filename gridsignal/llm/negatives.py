@@ -140,16 +140,26 @@ def no_scores() -> Column:
 
 
 def labelled_vectors(df: DataFrame, label: Column, scale: float, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id, label, vector (whole numbers as doubles), norm of the rows that take part."""
-    # the floor as a double: F.floor gives longs, which end at 2^63
-    floor = lambda y: F.rint(y) - F.when(F.rint(y) > y, 1.0).otherwise(0.0)
-    v = F.transform(F.col(vector_col).cast("array<double>"), lambda x: floor(x * F.lit(float(scale))))
-    out = df.select(F.col(id_col).cast("long").alias("vec_id"), label.cast("long").alias("label"), v.alias("vector"))
-    whole = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    out = out.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(whole, F.lit(False)))
-    peak = F.aggregate("vector", F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x)))
-    square = lambda p: F.aggregate("vector", F.lit(0.0), lambda m, x: m + (x / p) * (x / p))
-    return out.withColumn("norm", F.when(peak > 0, F.sqrt(square(peak)) * peak).otherwise(0.0))
+    """vec_id, label, vector (whole numbers as doubles), norm of the rows that take part; batch by batch, no row moves."""
+    fields = [("vec_id", pa.int64()), ("label", pa.int64()), ("vector", pa.list_(pa.float64())), ("norm", pa.float64())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(2)
+            ends = rows.offsets.to_numpy()
+            flat = rows.values.slice(ends[0], ends[-1] - ends[0]).to_numpy(zero_copy_only=False).astype(float)
+            with np.errstate(over="ignore", invalid="ignore"):
+                flat = np.floor(flat * scale)
+            # nulls inside a vector are NaN here
+            bad = np.concatenate([[0], np.cumsum(~np.isfinite(flat))])[ends - ends[0]]
+            keep = np.flatnonzero((np.diff(bad) == 0) & rows.is_valid().to_numpy(zero_copy_only=False))
+            whole = pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), pa.array(flat))
+            table = pa.table([batch.column(0), batch.column(1), whole], ["vec_id", "label", "vector"]).take(keep)
+            size = norms(matrix(table.column("vector"))) if len(keep) else np.zeros(0)
+            yield from table.append_column("norm", pa.array(size)).cast(pa.schema(fields)).combine_chunks().to_batches()
+
+    own = df.select(F.col(id_col).cast("long").alias("vec_id"), label.cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
+    return own.filter("vec_id IS NOT NULL AND label IS NOT NULL AND vector IS NOT NULL").mapInArrow(run, "vec_id long, label long, vector array<double>, norm double")
 
 
 def search_blocks(blocks: DataFrame, bounds: list[float], anchors: DataFrame, same: bool, k: int, span: Span) -> DataFrame:
