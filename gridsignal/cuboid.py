@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridsignal.operators.ranking import global_row_number
+from gridsignal.operators.ranking import global_row_number, number_within
 
 #: Axes that lead in the canonical orientation, in this order; all others follow alphabetically.
 CANONICAL = ["sagittal", "coronal", "axial", "time", "iteration", "condition"]
@@ -324,8 +324,7 @@ class Cuboid:
 
     def explode(self, mask: Cuboid, parcel: str = "parcel", new_axis: str = "position") -> DataFrame:
         """Cells by the mask's value, 0 included: parcel, position in the parcel (from 0), other axes, value."""
-        order = Window.partitionBy(mask.value).orderBy(*mask.axes)
-        labelled = mask.df.withColumn(new_axis, (F.row_number().over(order) - 1).cast("long"))
+        labelled = number_within(mask.df.select(*mask.axes, mask.value), [mask.value], mask.axes, new_axis)
         rest = [a for a in self.axes if a not in mask.axes]
         return self.df.join(labelled, mask.axes).select(F.col(mask.value).alias(parcel), new_axis, *rest, self.value)
 
@@ -336,26 +335,71 @@ class Cuboid:
         right = other.df.withColumnRenamed(other.value, "_other")
         return self._like(self.df.join(right, other.axes).withColumn(self.value, F.col("_other")))
 
-    def to_html_table(self, row_axis: str, column_axis: str, limit: int = 1000) -> str:
-        """The array of two axes as an HTML table, for reports: at most ``limit`` rows and columns, or an error."""
-        names, grid = self._grid(row_axis, column_axis, limit)
-        head = "".join(f"<th>{c}</th>" for c in names)
-        body = "".join(f"<tr><th>{r}</th>" + "".join(f"<td>{'' if v is None else v}</td>" for v in cells) + "</tr>" for r, cells in grid)
-        return f"<table><tr><th>{row_axis}\\{column_axis}</th>{head}</tr>{body}</table>"
-
-    def to_latex(self, row_axis: str, column_axis: str, limit: int = 1000) -> str:
-        names, grid = self._grid(row_axis, column_axis, limit)
-        lines = [" & ".join(["", *map(str, names)])] + [" & ".join([str(r), *("" if v is None else str(v) for v in cells)]) for r, cells in grid]
-        return "\\begin{tabular}{l" + "r" * len(names) + "}\n" + " \\\\\n".join(lines) + " \\\\\n\\end{tabular}"
-
-    def _grid(self, row_axis: str, column_axis: str, limit: int) -> tuple[list, list[tuple]]:
-        if sorted(self.axes) != sorted((row_axis, column_axis)):
-            raise ValueError("a table has two axes")
-        names = [r[0] for r in self.domain(column_axis).limit(limit + 1).collect()]
-        rows = self.df.groupBy(row_axis).pivot(column_axis, names).agg(F.first(self.value)).orderBy(row_axis).limit(limit + 1).collect()
-        if len(names) > limit or len(rows) > limit:
-            raise ValueError(f"more than {limit} rows or columns")
-        return names, [(r[0], tuple(r)[1:]) for r in rows]
+    def to_html_table(self, rows: str | Sequence[str], columns: str | Sequence[str], limit: int = 1000, inner: Sequence[str] = (), separator: str = " | ") -> str:
+        """The array as an HTML table, for reports: at most ``limit`` rows and columns, or an error.
+
+        A column of headers for each axis of ``rows``, a line of them for each of ``columns``; a cell has the values of the
+        ``inner`` axes in their order.
+        """
+        rows, columns, heads, grid = self._grid(rows, columns, limit, inner, separator)
+        lines = []
+        for k, axis in enumerate(columns):
+            first = rows if k == len(columns) - 1 else [""] * len(rows)
+            corner = "".join(f"<th>{r}\\{axis}</th>" if r == rows[-1] else f"<th>{r}</th>" for r in first)
+            lines.append(f"<tr>{corner}" + "".join(f"<th>{h[k]}</th>" for h in heads) + "</tr>")
+        for names, cells in grid:
+            lines.append("<tr>" + "".join(f"<th>{n}</th>" for n in names) + "".join(f"<td>{'' if v is None else v}</td>" for v in cells) + "</tr>")
+        return f"<table>{''.join(lines)}</table>"
+
+    def to_latex(self, rows: str | Sequence[str], columns: str | Sequence[str], limit: int = 1000, inner: Sequence[str] = (), separator: str = " | ") -> str:
+        rows, columns, heads, grid = self._grid(rows, columns, limit, inner, separator)
+        lines = [" & ".join([*[""] * len(rows), *(str(h[k]) for h in heads)]) for k in range(len(columns))]
+        lines += [" & ".join([*map(str, names), *("" if v is None else str(v) for v in cells)]) for names, cells in grid]
+        return "\\begin{tabular}{" + "l" * len(rows) + "r" * len(heads) + "}\n" + " \\\\\n".join(lines) + " \\\\\n\\end{tabular}"
+
+    def _grid(self, rows: str | Sequence[str], columns: str | Sequence[str], limit: int, inner: Sequence[str], separator: str) -> tuple[list[str], list[str], list[tuple], list[tuple]]:
+        rows, columns = ([x] if isinstance(x, str) else list(x) for x in (rows, columns))
+        if sorted(self.axes) != sorted([*rows, *columns, *inner]):
+            raise ValueError("the table's axes must be the array's")
+        heads = [tuple(r) for r in self.df.select(*columns).distinct().orderBy(*columns).limit(limit + 1).collect()]
+        if len(heads) > limit:
+            raise ValueError(f"more than {limit} columns")
+        # headers in columns' places: one literal a header
+        place = F.array_position(F.array(*[F.struct(*[F.lit(v).cast(self.df.schema[c].dataType).alias(c) for v, c in zip(h, columns, strict=True)]) for h in heads]), F.struct(*columns)).cast("int") if heads else F.lit(1)
+        cells = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*inner, F.col(self.value).cast("string").alias("_v")))), lambda s: s["_v"]), separator) if inner else F.first(self.value)
+        wide = self.df.withColumn("_c", place).groupBy(*rows).pivot("_c", list(range(1, len(heads) + 1))).agg(cells)
+        found = wide.orderBy(*rows).limit(limit + 1).collect() if heads else []
+        if len(found) > limit:
+            raise ValueError(f"more than {limit} rows")
+        return rows, columns, heads, [(tuple(r)[: len(rows)], tuple(r)[len(rows) :]) for r in found]
+
+    # sinks
+
+    def extra_info(self) -> dict:
+        """The axes with their types and numbers of values, and the label: what describes the array beside its cells."""
+        sizes = self.get_dshape()
+        return {"axes": [{"name": a, "type": self.df.schema[a].dataType.simpleString(), "size": sizes[a]} for a in self.axes], "value": self.value, "type": self.df.schema[self.value].dataType.simpleString()}
+
+    def save(self, folder: str, name: str, by: Sequence[str] = (), voxel: tuple[float, float, float] = (1.0, 1.0, 1.0), packed: bool = False, formatted: bool = False) -> None:
+        """``name.nii`` below ``folder``, or a file for each combination of the axes ``by``; axes become whole numbers from 0 in
+        the order of their values. Cells that the array lacks are 0. ``voxel`` is the size of a cell along the first three axes."""
+        from gridsignal.sources.volumes import split_items, write_volumes
+
+        rest = [a for a in self.axes if a not in by]
+        cells = self.df.select(*self.axes, self.value)
+        for axis in rest:
+            places = global_row_number(self.domain(axis), [axis], f"_p_{axis}")
+            cells = cells.join(places, axis)
+        write_volumes(cells.withColumn("_item", split_items(cells, name, list(by), formatted)), folder, "_item", [f"_p_{a}" for a in rest], self.value, voxel, packed)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, value: str = "intensity") -> Cuboid:
+        """The array of a volume's file: axes x, y, z and, in a series, t."""
+        from gridsignal.sources.volumes import load_volumes
+
+        cells = load_volumes(spark, path).withColumnRenamed("value", value).drop("path")
+        series = cells.filter("t > 0").isEmpty()
+        return cls(cells.drop("t"), ["x", "y", "z"], value) if series else cls(cells, ["x", "y", "z", "t"], value)
 
     # nesting
 
@@ -374,8 +418,7 @@ class Cuboid:
 
 def merge(parcels: DataFrame, mask: Cuboid, value: str, parcel: str = "parcel", position: str = "position", fill: float = 0.0) -> Cuboid:
     """Inverse of ``explode``: parcels' cells at their places in the mask, ``fill`` where a parcel has none."""
-    order = Window.partitionBy(mask.value).orderBy(*mask.axes)
-    labelled = mask.df.withColumn(position, (F.row_number().over(order) - 1).cast("long")).withColumnRenamed(mask.value, parcel)
+    labelled = number_within(mask.df.select(*mask.axes, mask.value), [mask.value], mask.axes, position).withColumnRenamed(mask.value, parcel)
     rest = [c for c in parcels.columns if c not in (parcel, position, value)]
     out = labelled.join(parcels, [parcel, position], "left").withColumn(value, F.coalesce(value, F.lit(fill)))
     return Cuboid(out, [*mask.axes, *rest], value)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gridsignal.functions.series import contrast_vector
 
-BINARY: dict[type, Callable] = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.Mod: operator.mod, ast.Pow: lambda a, b: F.pow(_column(a), _column(b))}
+BINARY: dict[type, Callable] = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.Mod: lambda a, b: remainder(a, b), ast.Pow: lambda a, b: F.pow(_column(a), _column(b))}
 UNARY: dict[type, Callable] = {ast.USub: operator.neg, ast.UAdd: operator.pos}
 
 
@@ -23,6 +23,44 @@ def _column(x: object) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+def remainder(a: object, b: object) -> object:
+    """With the divisor's sign, as the expressions' language has it; null for a divisor of 0."""
+    if not isinstance(a, Column) and not isinstance(b, Column):
+        return a % b if b else F.lit(None).cast("double")
+    x, y = _column(a), _column(b)
+    rest = x % F.nullif(y, F.lit(0))
+    return F.when((rest != 0) & ((rest < 0) != (y < 0)), rest + y).otherwise(rest)
+
+
+def frexp(x: Column) -> Column:
+    """Struct (m, e): x = m * 2^e with m in [0.5, 1); (x, 0) for 0 and what isn't finite."""
+    x = x.cast("double")
+    size = F.abs(x)
+    odd = (x == 0) | F.isnan(x) | (size == float("inf"))
+    near = F.when(odd, 0).otherwise(F.floor(F.log2(F.when(odd, 1.0).otherwise(size))) + 1).cast("int")
+    # halved first: 2^1024 is no double
+    m = size / F.pow(F.lit(2.0), (near - 1).cast("double")) / 2
+    # the logarithm may round across a power of two
+    off = F.when(m >= 1, 1).when(m < 0.5, -1).otherwise(0)
+    part = F.signum(x) * m * F.pow(F.lit(2.0), -off.cast("double"))
+    return F.struct(F.when(odd, x).otherwise(part).alias("m"), F.when(odd, 0).otherwise(near + off).cast("int").alias("e"))
+
+
+def ldexp(m: Column, e: Column) -> Column:
+    """m * 2^e, by two factors, as either half of the exponent is in range."""
+    half = F.floor(e / 2)
+    return m.cast("double") * F.pow(F.lit(2.0), half.cast("double")) * F.pow(F.lit(2.0), (e - half).cast("double"))
+
+
+def modf(x: Column) -> Column:
+    """Struct (part, whole): the fraction and the whole part, both with the sign of x."""
+    x = x.cast("double")
+    endless = F.abs(x) == float("inf")
+    # a double of 2^52 or more has no fraction, and its whole part may be beyond a long
+    whole = F.when(F.abs(x) >= 2.0**52, x).otherwise(F.signum(x) * F.floor(F.abs(F.when(F.abs(x) < 2.0**52, x))).cast("double"))
+    return F.struct(F.when(endless, F.signum(x) * 0.0).otherwise(x - whole).alias("part"), whole.alias("whole"))
+
+
 class ExpressionSyntaxError(ValueError):
     """The text is no arithmetic expression."""
 
@@ -50,6 +88,10 @@ class ArithmeticExpression:
             self.functions[name] = lambda x, own=getattr(F, name): own(_column(x))
         for name in ("atan2", "hypot", "pow"):
             self.functions[name] = lambda x, y, own=getattr(F, name): own(_column(x), _column(y))
+        for name, own in {"fabs": lambda x: F.abs(x.cast("double")), "frexp": frexp, "modf": modf}.items():
+            self.functions[name] = lambda x, own=own: own(_column(x))
+        for name, own in {"fmod": lambda x, y: x.cast("double") % F.nullif(y.cast("double"), F.lit(0.0)), "ldexp": ldexp}.items():
+            self.functions[name] = lambda x, y, own=own: own(_column(x), _column(y))
         return self
 
     def add_default_variables(self) -> ArithmeticExpression:

@@ -5,17 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-def file_series(files: DataFrame, name: str = "name") -> DataFrame:
-    """(prefix, ext, number) of names whose part before the last dot ends in digits and whose rest is letters, dots aside.
 
-    Names without such a number are left out: they belong to no series.
+def file_series(files: DataFrame, name: str = "name", others: bool = False) -> DataFrame:
+    """(prefix, ext, number) of names that end in a number, a dot and an extension, such as ``nii`` or ``nii.gz``.
+
+    Names without such a number belong to no series: they are left out or, with ``others``, kept with a null number, split
+    at their last dot.
     """
     text = F.col(name)
-    ext = F.element_at(F.split(text, "[.]"), -1)
-    stem = F.left(text, F.length(text) - F.length(ext) - 1)
-    digits = F.regexp_extract(stem, "[0-9]*$", 0)
+    # fixed values: an extension consists of letters, dots and ~
+    tail = F.regexp_extract(text, r"[a-zA-Z~.]*\z", 0)
+    stem = F.left(text, F.length(text) - F.length(tail))
+    digits = F.regexp_extract(stem, r"[0-9]*\z", 0)
     prefix = F.left(stem, F.length(stem) - F.length(digits))
-    return files.filter((digits != "") & ~ext.rlike("[^a-zA-Z~]")).select(prefix.alias("prefix"), ext.alias("ext"), digits.cast("long").alias("number"))
+    numbered = (digits != "") & tail.startswith(".")
+    found = files.filter(numbered).select(prefix.alias("prefix"), F.substring(tail, 2, 1 << 20).alias("ext"), digits.cast("long").alias("number"))
+    if not others:
+        return found
+    ext = F.regexp_extract(text, r"(?s)[^/.][^/]*?([.][^./]*)\z", 1)
+    rest = files.filter(~numbered).select(F.left(text, F.length(text) - F.length(ext)).alias("prefix"), F.substring(ext, 2, 1 << 20).alias("ext"), F.lit(None).cast("long").alias("number"))
+    return found.unionByName(rest)
 
 
 def condensed(numbers: DataFrame, by: list[str], number: str = "number") -> DataFrame:

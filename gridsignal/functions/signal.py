@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -44,6 +45,20 @@ def finite_differences(order: int, size: int) -> np.ndarray:
     return out
 
 
+def differenced(signal: Column, order: int) -> Column:
+    """``finite_differences(order)`` times an array column of any length, zeros beyond its ends."""
+    stencil = [1.0]
+    for _ in range(order):
+        stencil = [float(a) for a in np.convolve(stencil, [1.0, -1.0])]
+    at = lambda i, j: F.when((i + j >= 0) & (i + j < F.size(signal)), F.get(signal, i + j)).otherwise(0.0)
+    return F.transform(signal, lambda _, i: sum((at(i, F.lit(j - order // 2)) * c for j, c in enumerate(stencil)), F.lit(0.0)))
+
+
+def roughness(signal: Column, dt: float, order: int = 2) -> Column:
+    """The quadratic form of ``smoothness_precision`` at an array column."""
+    return F.aggregate(differenced(signal, order), F.lit(0.0), lambda t, d: t + d * d) / dt ** (2 * order)
+
+
 def smoothness_precision(size: int, dt: float, order: int = 2) -> np.ndarray:
     d = finite_differences(order, size)
     return d.T @ d / dt ** (2 * order)
@@ -92,14 +107,29 @@ def projector(basis: np.ndarray, signal: Column) -> Column:
     return F.array(*[dot(column) for column in basis.T])
 
 
-def undrifted(df: DataFrame, signal: str, basis: np.ndarray) -> DataFrame:
-    """Subtract an array column's projection on the basis, batch by batch."""
+def cosine_coefficients(signal: Column, cutoff: float, tr: float) -> Column:
+    """Coefficients of an array column of any length on the columns of ``cosine_basis``, as an array."""
+    n = F.size(signal)
+    count = F.greatest(F.lit(1), F.floor(2 * n * F.lit(tr / cutoff) + 1).cast("int") - 1)
+    wave = lambda k, i: F.when(k == 0, 1 / F.sqrt(n)).otherwise(F.cos(math.pi * k * (2 * i + 1) / (2 * n)) * F.sqrt(F.lit(2.0) / n))
+    dot = lambda k: F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda t, i: t + F.get(signal, i) * wave(k, i))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), count - 1), dot)).otherwise(F.array().cast("array<double>"))
+
+
+def undrifted(df: DataFrame, signal: str, basis: np.ndarray | Callable[[int], np.ndarray]) -> DataFrame:
+    """Subtract an array column's projection on the basis, batch by batch; ``basis`` may depend on the signal's length."""
     from pyspark.sql.types import ArrayType, DoubleType
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def clean(ys: pd.Series) -> pd.Series:
-        y = np.stack(ys.to_numpy()) if len(ys) else np.zeros((0, len(basis)))
-        return pd.Series(list(y - (y @ basis) @ basis.T))
+        out = ys.copy()
+        lengths = ys.map(lambda y: -1 if y is None else len(y))
+        for n in lengths.unique():
+            if n > 0:
+                own = lengths == n
+                y, b = np.stack(ys[own].to_numpy()), basis(int(n)) if callable(basis) else basis
+                out[own] = pd.Series(list(y - (y @ b) @ b.T), ys.index[own])
+        return out
 
     return df.withColumn(signal, clean(F.col(signal)))
 

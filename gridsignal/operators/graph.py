@@ -253,8 +253,8 @@ def pooled(edges: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").select(F.col("_a").alias("src"), F.col("_b").alias("dst"))
 
 
-def centred_at(offsets: DataFrame, axes: list[str], place: dict[str, int], shape: dict[str, int], wraps: bool = False) -> DataFrame:
-    """Cells of a mask of offsets put at ``place``: those inside ``shape``, or at the opposite edge if it ``wraps``."""
+def centred_at(offsets: DataFrame, axes: list[str], place: dict[str, int | Column], shape: dict[str, int], wraps: bool = False) -> DataFrame:
+    """Cells of a mask of offsets put at ``place`` (numbers or columns): those inside ``shape``, or at the opposite edge if it ``wraps``."""
     out = offsets
     for a in axes:
         moved = F.col(a) + place[a]

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridsignal.functions import linear
 from gridsignal.functions.signal import smoothness_precision
 
 OUTPUT = "parcel long, name string, voxel long, condition string, at double, value double, report string"
@@ -117,6 +118,58 @@ def glm(signals: DataFrame, design: np.ndarray, contrasts: dict[str, np.ndarray]
     return signals.withColumn("_fit", fit(F.col(signal))).select("*", "_fit.*").drop("_fit")
 
 
+def glm_ar1(signals: DataFrame, design: np.ndarray, contrasts: dict[str, np.ndarray] | None = None, signal: str = "y") -> DataFrame:
+    """Add rho, beta (array), s2 and, for each contrast, effect_*, var_* and t_*, with residuals that follow AR(1).
+
+    A first fold over the signal array gives the least-squares levels and the residuals' correlation at lag one, rho. Rows
+    are then whitened (the first by sqrt(1 - rho^2)). The whitened normal equations are quadratic in rho, so the sums that
+    they need are dot products of the signal with three fixed matrices, and nothing is fitted in Python. The design is
+    a table of one row beside the signals. A signal of another length than the design, or one that the design
+    explains wholly, has rho 0 or nulls as the algebra gives them; a null signal gives nulls.
+    """
+    x = np.asarray(design, float)
+    n, p = x.shape
+    before, after = np.vstack([np.zeros((1, p)), x[:-1]]), np.vstack([x[1:], np.zeros((1, p))])
+    ends = x.copy()
+    ends[-1] = 0.0
+    ends[0] -= x[0]
+    # of the sums over t of x_t x_t', of both products at lag one, and of those that rho^2 multiplies
+    grams = [x.T @ x, x.T @ before + before.T @ x, x.T @ ends]
+    tables = [x.T, (before + after).T, ends.T]
+    spark = signals.sparkSession
+    names = ["_x", "_lag", "_end", "_gram0", "_gram1", "_gram2", "_solve"]
+    fixed = [[[float(v) for v in row] for row in m] for m in (*tables, *grams, np.linalg.pinv(x.T @ x))]
+    one = F.broadcast(spark.createDataFrame([tuple(fixed)], ", ".join(f"{c} array<array<double>>" for c in names)))  # one row
+
+    y = F.col("_y")
+    out = signals.crossJoin(one).withColumn("_y", F.col(signal).cast("array<double>"))
+    out = out.withColumn("_a", linear.product(F.col("_x"), y)).withColumn("_b", linear.product(F.col("_lag"), y)).withColumn("_c", linear.product(F.col("_end"), y))
+    level = linear.product(F.col("_solve"), F.col("_a"))
+    out = out.withColumn("_ols", level)
+    fitted = F.aggregate(F.sequence(F.lit(1), F.lit(p)), F.transform(y, lambda v: v), lambda rest, j: F.zip_with(rest, F.element_at("_x", j), lambda r, v: r - v * F.element_at("_ols", j)))
+    out = out.withColumn("_r", fitted)
+    lagged = linear.dot(F.slice("_r", 1, n - 1), F.slice("_r", 2, n - 1)) if n > 1 else F.lit(0.0)
+    power = linear.dot(F.col("_r"), F.col("_r"))
+    out = out.withColumn("rho", F.when(power > 0, lagged / F.when(power > 0, power)).otherwise(F.when(y.isNotNull(), 0.0)))
+    rho = F.col("rho")
+    weights = [F.lit(1.0), -rho, rho * rho]
+    out = out.withColumn("_inv", linear.inverse(linear.combined_matrices([(w, F.col(f"_gram{k}")) for k, w in enumerate(weights)]), p))
+    out = out.withColumn("_rhs", linear.combined(list(zip(weights, [F.col("_a"), F.col("_b"), F.col("_c")], strict=True))))
+    out = out.withColumn("beta", F.when(y.isNotNull(), linear.product(F.col("_inv"), F.col("_rhs"))))
+    # residuals of the whitened rows, from the signal's own
+    rest = F.aggregate(F.sequence(F.lit(1), F.lit(p)), F.transform(y, lambda v: v), lambda have, j: F.zip_with(have, F.element_at("_x", j), lambda r, v: r - v * F.element_at("beta", j)))
+    out = out.withColumn("_e", rest)
+    white = F.zip_with(F.slice("_e", 2, n), F.slice("_e", 1, n - 1), lambda u, v: (u - rho * v) * (u - rho * v))
+    first = F.get("_e", F.lit(0))
+    squares = F.aggregate(white, (F.lit(1.0) - rho * rho) * first * first, lambda t, v: t + v)
+    out = out.withColumn("s2", squares / max(n - int(np.linalg.matrix_rank(x)), 1))
+    for name, c in (contrasts or {}).items():
+        w = linear.vector(np.asarray(c, float))
+        effect, var = linear.dot(F.col("beta"), w), F.col("s2") * linear.dot(w, linear.product(F.col("_inv"), w))
+        out = out.withColumn(f"effect_{name}", effect).withColumn(f"var_{name}", var).withColumn(f"t_{name}", effect / F.sqrt(F.greatest(var, F.lit(1e-300))))
+    return out.drop("_y", "_a", "_b", "_c", "_ols", "_r", "_inv", "_rhs", "_e", *names)
+
+
 # regularised finite impulse response
 
 

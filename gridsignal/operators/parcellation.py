@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridsignal.operators.matching import best_matching
+
 
 def parcel_sizes(df: DataFrame, parcel: str = "parcel") -> DataFrame:
     return df.groupBy(parcel).agg(F.count(F.lit(1)).alias("size"))
@@ -56,44 +55,38 @@ def intersection_matrix(a: DataFrame, b: DataFrame, position: list[str], parcel:
     return both.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"))
 
 
-def assignment(profit: np.ndarray) -> np.ndarray:
-    """Columns of a maximum-profit assignment of rows, by shortest augmenting paths."""
-    n = max(profit.shape)
-    cost = np.zeros((n, n))
-    cost[: profit.shape[0], : profit.shape[1]] = profit.max(initial=0) - profit
-    cost[profit.shape[0] :] = cost[:, profit.shape[1] :] = profit.max(initial=0)
-    u, v, match = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1, int)
-    for i in range(1, n + 1):
-        match[0], col = i, 0
-        least, way, used = np.full(n + 1, np.inf), np.zeros(n + 1, int), np.zeros(n + 1, bool)
-        while match[col]:
-            used[col] = True
-            row = match[col]
-            free = ~used[1:]
-            reduced = cost[row - 1] - u[row] - v[1:]
-            better = free & (reduced < least[1:])
-            least[1:][better], way[1:][better] = reduced[better], col
-            nxt = int(np.where(free, least[1:], np.inf).argmin()) + 1
-            delta = least[nxt]
-            u[match[used]] += delta
-            v[used] -= delta
-            least[1:][free] -= delta
-            col = nxt
-        while col:
-            match[col], col = match[way[col]], way[col]
-    out = np.empty(n, int)
-    out[match[1:] - 1] = np.arange(n)
-    return out[: profit.shape[0]]
-
-
-def parcellation_distance(a: DataFrame, b: DataFrame, position: list[str], parcel: str = "parcel") -> int:
-    """Fewest positions (outside ``a``'s background) to remove so that the partitions agree.
-
-    The matrix of counts has one entry for each pair of parcels that meet; only it comes to the driver.
-    """
-    m = intersection_matrix(a, b, position, parcel).filter("i <> 0").toPandas().pivot(index="i", columns="j", values="n").fillna(0).to_numpy()
-    agreed = sum(m[i, j] for i, j in enumerate(assignment(m)) if j < m.shape[1]) if len(m) else 0
-    return int(m.sum() - agreed)
+def matched_parcels(a: DataFrame, b: DataFrame, position: list[str], parcel: str = "parcel") -> DataFrame:
+    """(i, j, n): which parcel of ``b`` goes with which of ``a``, so that most positions agree; background goes with none."""
+    return best_matching(intersection_matrix(a, b, position, parcel).filter("i <> 0 AND j <> 0"))
+
+
+def parcellation_distance(a: DataFrame, b: DataFrame, position: list[str], parcel: str = "parcel", mask: DataFrame | None = None) -> int:
+    """Fewest positions to remove so that the partitions agree, among those outside ``a``'s background or, with ``mask``
+    (the position's columns), among its positions."""
+    inside = a.filter(F.col(parcel) != 0) if mask is None else a.join(mask.select(*position).distinct(), position, "left_semi")
+    agreed = matched_parcels(inside, b, position, parcel).agg(F.sum("n")).first()[0] or 0
+    return inside.count() - agreed
+
+
+def aligned(a: DataFrame, b: DataFrame, position: list[str], parcel: str = "parcel") -> DataFrame:
+    """``b`` with the numbers of the parcels of ``a`` that its parcels go with; parcels that go with none become background."""
+    pairs = matched_parcels(a, b, position, parcel).select(F.col("j").alias(parcel), F.col("i").alias("_to"))
+    return b.join(pairs, parcel, "left").select(*[F.coalesce("_to", F.lit(0)).cast(b.schema[parcel].dataType).alias(parcel) if c == parcel else F.col(c) for c in b.columns])
+
+
+def check_parcellations_agree(a: DataFrame, b: DataFrame, position: list[str], tolerance: int = 0, parcel: str = "parcel", allowed: DataFrame | None = None) -> None:
+    """Raise unless at most ``tolerance`` positions differ or, with ``allowed`` (positions), none but those do."""
+    if allowed is None:
+        far = parcellation_distance(a, b, position, parcel)
+        if far > tolerance:
+            raise AssertionError(f"{far} positions differ, {tolerance} may")
+        return
+    inside = a.filter(F.col(parcel) != 0)
+    same = aligned(inside, b, position, parcel).select(*position, F.col(parcel).alias("_other"))
+    apart = inside.join(same, position, "left").filter(F.coalesce(F.col("_other") != F.col(parcel), F.lit(True)))
+    far = apart.join(allowed.select(*position), position, "left_anti").count()
+    if far:
+        raise AssertionError(f"{far} positions differ that may not")
 
 
 def voronoi(df: DataFrame, coords: list[str], seeds: list[tuple], label: str = "parcel") -> DataFrame:
@@ -143,58 +136,6 @@ def merge_small(df: DataFrame, edges: DataFrame, min_size: int, node: str = "nod
     return nodes.join(owner.withColumnRenamed("p", parcel), parcel, "left").select(node, F.coalesce("now", parcel).alias(parcel))
 
 
-def ward(features: np.ndarray, neighbours: list[set[int]], n_clusters: int) -> np.ndarray:
-    """Labels 0..n-1 of Ward clustering where only neighbouring clusters may merge."""
-    n = len(features)
-    mean, size, near = {i: features[i].astype(float) for i in range(n)}, dict.fromkeys(range(n), 1), {i: set(s) - {i} for i, s in enumerate(neighbours)}
-    owner, alive, nxt = {i: [i] for i in range(n)}, set(range(n)), n
-
-    def rise(i: int, j: int) -> float:
-        return size[i] * size[j] / (size[i] + size[j]) * float(((mean[i] - mean[j]) ** 2).sum())
-
-    heap = [(rise(i, j), i, j) for i in range(n) for j in near[i] if i < j]
-    heapq.heapify(heap)
-    while len(alive) > n_clusters and heap:
-        _, i, j = heapq.heappop(heap)
-        if i not in alive or j not in alive:
-            continue
-        mean[nxt] = (size[i] * mean[i] + size[j] * mean[j]) / (size[i] + size[j])
-        size[nxt], owner[nxt] = size[i] + size[j], owner.pop(i) + owner.pop(j)
-        near[nxt] = (near.pop(i) | near.pop(j)) - {i, j}
-        alive -= {i, j}
-        alive.add(nxt)
-        for k in near[nxt]:
-            near[k] = (near[k] - {i, j}) | {nxt}
-            heapq.heappush(heap, (rise(k, nxt), k, nxt))
-        nxt += 1
-    out = np.zeros(n, int)
-    for label, c in enumerate(sorted(alive, key=lambda c: min(owner[c]))):
-        out[owner[c]] = label
-    return out
-
-
-def ward_spatial(nodes: DataFrame, edges: DataFrame, n_clusters: int, features: str = "features") -> DataFrame:
-    """(parcel, node, label): each parcel's nodes in ``n_clusters`` spatially connected clusters.
-
-    ``nodes``: parcel, node, features (array); ``edges``: parcel, src, dst. A parcel is one task's work: parcels are to be
-    of bounded size, larger ones are split first.
-    """
-
-    def run(key: tuple, own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        if own.empty:
-            return pd.DataFrame({"parcel": [], "node": [], "label": []})
-        own = own.sort_values("node").reset_index(drop=True)
-        at = {v: i for i, v in enumerate(own["node"])}
-        near: list[set[int]] = [set() for _ in at]
-        for a, b in zip(links["src"], links["dst"], strict=True):
-            near[at[a]].add(at[b])
-            near[at[b]].add(at[a])
-        labels = ward(np.stack(own[features].to_numpy()), near, n_clusters)
-        return pd.DataFrame({"parcel": own["parcel"], "node": own["node"], "label": labels + 1})
-
-    return nodes.groupBy("parcel").cogroup(edges.groupBy("parcel")).applyInPandas(run, "parcel long, node long, label int")
-
-
 def round_n_parcels(n: int) -> int:
     """To hundreds, tens or units, by size."""
     step = 100 if n >= 100 else 10 if n >= 10 else 1

@@ -23,3 +23,12 @@ def global_row_number(df: DataFrame, order: list[str], name: str, start: int = 0
     # one row a range: bounded by the number of shuffle partitions
     out = ranged.withColumn("_at", F.row_number().over(within) - 1).join(F.broadcast(offsets), "_range")
     return out.withColumn(name, (F.col("_offset") + F.col("_at") + start).cast("long")).drop("_range", "_at", "_offset")
+
+
+def number_within(df: DataFrame, by: list[str], order: list[str], name: str, start: int = 0) -> DataFrame:
+    """Add ``name``: the row's place in its group. Rows are numbered over the whole table, groups' first numbers (one row a
+    group) are taken off, so a group that holds a third of all rows is several tasks' work. Groups may be null."""
+    ranked = global_row_number(df, [*by, *order], "_whole")
+    first = ranked.groupBy(*by).agg(F.min("_whole").alias("_first")).select(*[F.col(b).alias(f"_by_{b}") for b in by], "_first")
+    same = [F.col(b).eqNullSafe(F.col(f"_by_{b}")) for b in by]
+    return ranked.join(first, same).select(*df.columns, (F.col("_whole") - F.col("_first") + start).alias(name))

@@ -151,6 +151,17 @@ def file_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbers(spark, sf_dir)
 
 
+@query("file_series_all", """
+    SELECT CASE p_size % 3 WHEN 0 THEN p_type WHEN 1 THEN regexp_replace(p_brand, '[0-9]+$', '') ELSE p_brand || '_' END AS prefix, CASE p_size % 3 WHEN 2 THEN 'nii.gz' ELSE 'txt' END AS ext,
+           CASE p_size % 3 WHEN 1 THEN CAST(regexp_extract(p_brand, '[0-9]+$') AS BIGINT) WHEN 2 THEN p_partkey END AS number, count(*) AS n FROM part GROUP BY 1, 2, 3
+""")
+def file_series_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed volumes, texts of brands, whose names end in a number, and of types, which belong to no series."""
+    kind = F.col("p_size") % 3
+    name = F.when(kind == 0, F.concat("p_type", F.lit(".txt"))).when(kind == 1, F.concat("p_brand", F.lit(".txt"))).otherwise(F.concat_ws("_", "p_brand", F.concat(F.col("p_partkey").cast("string"), F.lit(".nii.gz"))))
+    return series.file_series(table(spark, sf_dir, "part").select(name.alias("name")), others=True).groupBy("prefix", "ext", "number").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("condense_series", f"WITH {NAMES}, i AS (SELECT DISTINCT prefix, number FROM f), k AS (SELECT *, number - row_number() OVER (PARTITION BY prefix ORDER BY number) AS g FROM i) SELECT prefix, min(number) AS first, max(number) AS last, count(*) AS n FROM k GROUP BY prefix, g")
 def condense_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.condensed(numbers(spark, sf_dir), ["prefix"])

@@ -100,10 +100,20 @@ def paradigm_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("session", "condition").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("onset"), 1).alias("onsets"), F.max("amplitude").alias("amplitude"))
 
 
-@query("session_dict", "SELECT * FROM (VALUES (0, 'a', 1.5::DOUBLE, 0.0::DOUBLE), (0, 'a', 4.0, 0.0), (0, 'b', 2.0, 3.0), (0, 'a', 7.0, 2.0)) t(session, condition, onset, duration)")
+@query("session_dict", """
+    WITH e AS (SELECT n_regionkey AS session, CASE WHEN n_nationkey % 2 = 0 THEN 'a' ELSE 'b' END AS condition, n_nationkey * 1.5 AS onset, CASE WHEN n_nationkey % 2 = 0 THEN 2.0 ELSE 0.0 END AS duration FROM nation),
+         d AS (SELECT session, max(onset + duration) AS t_end FROM e GROUP BY 1), s AS (SELECT session, coalesce(sum(t_end) OVER (ORDER BY session ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift FROM d)
+    SELECT 0 AS session, condition, CAST(onset + shift AS DOUBLE) AS onset, CAST(duration AS DOUBLE) AS duration FROM e JOIN s USING (session)
+""")
 def session_dict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two sessions of a design written by hand, joined: the first ends at 5, when its last event does."""
-    design = {"run1": {"onsets": {"a": [1.5, 4.0], "b": [2.0]}, "stimulusLength": {"b": [3.0]}}, "run2": {"onsets": {"a": [2.0]}, "stimulusLength": {"a": [2.0]}}}
+    """Regions as the sessions of a design given as nested dicts, nations as its events; the sessions joined."""
+    from gridsignal.session import table
+
+    design: dict[str, dict] = {}
+    for r in table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").collect():  # a table of 25 rows at any scale
+        own = design.setdefault(f"run{r['n_regionkey']}", {"onsets": {"a": [], "b": []}, "stimulusLength": {"a": []}})
+        own["onsets"]["b" if r["n_nationkey"] % 2 else "a"].append(r["n_nationkey"] * 1.5)
+        own["stimulusLength"]["a"] += [] if r["n_nationkey"] % 2 else [2.0]
     return Paradigm.from_session_dict(spark, design).join_sessions().events.select("session", "condition", "onset", "duration")
 
 

@@ -13,7 +13,7 @@ from gridsignal.functions import series, signal, stats
 from gridsignal.operators import graph, parcellation, splitting
 from gridsignal.plans.graph_queries import GRID, grid
 from gridsignal.plans.register import query
-from gridsignal.session import table
+from gridsignal.session import table, written
 
 MESH = f"{GRID}, tri AS (SELECT c.node AS a, r.node AS b, u.node AS c FROM c JOIN c r ON r.x = c.x + 1 AND r.y = c.y JOIN c u ON u.x = c.x AND u.y = c.y + 1), me AS (SELECT DISTINCT src, dst FROM (SELECT unnest([a, b, a, c, b, c]) AS src, unnest([b, a, c, a, c, b]) AS dst FROM tri))"
 
@@ -100,10 +100,17 @@ def lattice_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.lattice_edges(cells, ["x", "y", "z"], kernel="3D-6n")
 
 
-@query("mask_at", "SELECT CAST(CASE WHEN i + 0 < 0 THEN 4 WHEN i >= 5 THEN 0 ELSE i END AS INTEGER) AS x, CAST(CASE WHEN j + 3 >= 5 THEN 0 ELSE j + 3 END AS INTEGER) AS y, wraps FROM range(-1, 2) a(i), range(-1, 2) b(j), (VALUES (true), (false)) w(wraps) WHERE wraps OR i >= 0 AND j + 3 < 5")
+@query("mask_at", f"""
+    WITH {GRID}, m AS (SELECT node, w.wraps, x - 1 + i AS p, CAST(y AS BIGINT) + j AS q FROM c, range(-1, 2) a(i), range(-1, 2) b(j), (VALUES (true), (false)) w(wraps) WHERE v >= 3)
+    SELECT node, wraps, CAST(CASE WHEN p < 0 THEN 49 WHEN p >= 50 THEN 0 ELSE p END AS INTEGER) AS x, CAST(CASE WHEN q < 0 THEN 24 WHEN q >= 25 THEN 0 ELSE q END AS INTEGER) AS y
+    FROM m WHERE wraps OR p BETWEEN 0 AND 49 AND q BETWEEN 0 AND 24
+""")
 def mask_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    offsets = spark.range(9).select((F.expr("id div 3") - 1).cast("int").alias("x"), (F.col("id") % 3 - 1).cast("int").alias("y"))
-    parts = [graph.centred_at(offsets, ["x", "y"], {"x": 0, "y": 3}, {"x": 5, "y": 5}, w).withColumn("wraps", F.lit(w)) for w in (True, False)]
+    """The nine cells around each frequent pair of size and brand, cut off at the sheet's edge or wrapped around it."""
+    at = grid(spark, sf_dir).filter("v >= 3").select("node", (F.col("x") - 1).alias("at_x"), F.col("y").cast("long").alias("at_y"))
+    offsets = F.explode(F.array(*[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("o")
+    masks = at.select("node", "at_x", "at_y", offsets).select("node", "at_x", "at_y", "o.x", "o.y")
+    parts = [graph.centred_at(masks, ["x", "y"], {"x": F.col("at_x"), "y": F.col("at_y")}, {"x": 50, "y": 25}, w).select("node", F.lit(w).alias("wraps"), "x", "y") for w in (True, False)]
     return parts[0].unionByName(parts[1])
 
 
@@ -112,33 +119,47 @@ def cell_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid(spark, sf_dir).select("node", F.round(graph.distance([F.col("x"), F.col("y")], [F.lit(3), F.lit(4)]), 6).alias("d"))
 
 
-def _split_sql(max_size: int, rounds: int = 8) -> str:
-    """Each round cuts every piece with more than one part across its longer side, x before y."""
-    out = f"WITH {GRID}, z AS (SELECT v % 4 AS parcel, ceil(count(*) / {max_size}.0) AS k FROM c WHERE v % 4 <> 0 GROUP BY 1), p0 AS (SELECT x, y, v % 4 AS parcel, CASE WHEN coalesce(k, 1) > 1 THEN CAST(k AS BIGINT) ELSE 1 END AS k, 0::BIGINT AS f FROM c LEFT JOIN z ON z.parcel = v % 4)"
-    for r in range(rounds):
-        out += f""", w{r} AS (SELECT *, count(*) OVER q AS n, max(x) OVER q - min(x) OVER q >= max(y) OVER q - min(y) OVER q AS wide FROM p{r} WINDOW q AS (PARTITION BY parcel, f)),
-         o{r} AS (SELECT *, row_number() OVER (PARTITION BY parcel, f ORDER BY CASE WHEN wide THEN x ELSE y END, x, y) - 1 AS place FROM w{r}),
-         p{r + 1} AS (SELECT x, y, parcel, CASE WHEN k <= 1 THEN k WHEN place >= floor(n * (k // 2) / k + 0.5) THEN k - k // 2 ELSE k // 2 END AS k, CASE WHEN k > 1 AND place >= floor(n * (k // 2) / k + 0.5) THEN f + k // 2 ELSE f END AS f FROM o{r})"""
-    return out + f""", u AS (SELECT parcel, f, row_number() OVER (ORDER BY parcel, f) AS i FROM (SELECT DISTINCT parcel, f FROM p{rounds} WHERE f > 0))
-    SELECT x, y, CAST(coalesce((SELECT max(parcel) FROM p0) + i, p.parcel) AS BIGINT) AS parcel FROM p{rounds} p LEFT JOIN u ON u.parcel = p.parcel AND u.f = p.f"""
+BANDS = f"""
+    {GRID}, k AS (SELECT node, x, y, x // 13 AS parcel FROM c), e2 AS (SELECT a.node AS src, b.node AS dst FROM k a JOIN k b ON abs(a.x - b.x) + abs(a.y - b.y) = 1 AND a.parcel = b.parcel),
+    r AS (SELECT node, node AS root FROM k UNION SELECT e2.dst, r.root FROM r JOIN e2 ON e2.src = r.node),
+    m AS (SELECT node, min(root) AS component FROM r GROUP BY 1), z AS (SELECT parcel, component, count(*) AS n FROM m JOIN k USING (node) GROUP BY 1, 2)
+"""
+
+
+def banded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid(spark, sf_dir).select("node", "x", "y", F.expr("x div 13").cast("long").alias("parcel"))
+
+
+def described(pieces: DataFrame, label: str) -> DataFrame:
+    """parcel, component, size, connected parts of each piece (label) of the bands' components, by the final labels alone."""
+    edges = written(graph.lattice_edges(pieces, ["x", "y"]))
+    inside = lambda by: graph.parcel_edges(edges, pieces.select("node", F.col(by).alias("parcel"))).select("src", "dst")
+    whole = graph.connected_components(inside("band"), pieces.select("node"))
+    parts = graph.connected_components(inside(label), pieces.select("node")).withColumnRenamed("component", "part")
+    rows = pieces.join(whole, "node").join(parts, "node").groupBy("band", label).agg(F.min("component").alias("component"), F.count(F.lit(1)).alias("size"), F.count_distinct("part").alias("parts"))
+    return rows.select(F.col("band").alias("parcel"), "component", "size", "parts")
 
 
-@query("split_big_parcels", _split_sql(30))
+def _pieces_sql(quota: str) -> str:
+    """Sizes of each component's pieces: all within a cell of each other, each in one part."""
+    return f"""WITH RECURSIVE {BANDS}, q AS (SELECT parcel, component, n, CAST({quota} AS BIGINT) AS k FROM z)
+    SELECT parcel, component, CAST(CASE WHEN i < n % k THEN n // k + 1 ELSE n // k END AS BIGINT) AS size, CAST(1 AS BIGINT) AS parts FROM q, LATERAL (SELECT unnest(range(k)) AS i)"""
+
+
+@query("split_big_parcels", _pieces_sql("CASE WHEN parcel > 0 AND sum(n) OVER (PARTITION BY parcel) > 30 THEN ceil(n / 30.0) ELSE 1 END") + " WHERE parcel > 0")
 def split_big_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = grid(spark, sf_dir).select("x", "y", (F.col("v") % 4).alias("parcel"))
-    return splitting.split_big_parcels(cells, ["x", "y"], 30).select("x", F.col("y").cast("long").alias("y"), F.col("parcel").cast("long").alias("parcel"))
+    """Pieces of at most 30 cells of the bands of parts (the first is background): each connected, as even as can be."""
+    cells = banded(spark, sf_dir)
+    out = splitting.split_big_parcels(cells.withColumn("band", F.col("parcel")), ["x", "y"], 30)
+    return described(written(out.filter("parcel <> 0").withColumn("label", F.col("parcel"))), "label")
 
 
-@query("balanced_parcels", f"WITH {GRID} SELECT count(*) AS cells, true AS all_labelled, true AS even FROM c")
+@query("balanced_parcels", _pieces_sql("greatest(round_even(48.0 * n / sum(n) OVER (), 0), 1)").replace("x // 13 AS parcel", "0 AS parcel"))
 def balanced_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All cells have a label, and no two parcels of a component differ by more than one cell a cut."""
-    from gridsignal.session import written
-
-    cells = grid(spark, sf_dir).select("x", "y")
-    out = written(splitting.balanced_parcels(cells, ["x", "y"], 12))
-    sizes = out.groupBy("parcel").agg(F.count(F.lit(1)).alias("n"))
-    big = sizes.filter(F.col("n") > F.lit(cells.count()) / 24).agg((F.max("n") - F.min("n") <= 4).alias("even"))
-    return out.agg(F.count(F.lit(1)).alias("cells"), (F.min("parcel") >= 1).alias("all_labelled")).crossJoin(F.broadcast(big))  # one row each
+    """The sheet of parts in 48 parcels, shared among its components by size."""
+    cells = banded(spark, sf_dir)
+    out = splitting.balanced_parcels(cells.select("x", "y"), ["x", "y"], 48).withColumnRenamed("parcel", "label")
+    return described(written(cells.select("node", "x", "y", F.lit(0).cast("long").alias("band")).join(out, ["x", "y"])), "label")
 
 
 @query("parcel_ranks", "SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS INTEGER) AS rank FROM customer WHERE c_nationkey NOT IN (3, 7)")
@@ -207,9 +228,10 @@ def threshold_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", stats.threshold_label(F.col("value") / 100, 0.5).alias("label"))
 
 
-@query("student_test", f"WITH {SIMPSON}, {USERS}, z AS (SELECT user_id, m / sqrt(v) AS t0 FROM u) SELECT user_id, round(t0, 6) AS t, round(0.5 - sum(w * t0 / 10 * pow(1 + pow(t0 * q.t / 10, 2) / 7, -4)) * 16 / (5 * pi() * sqrt(7)), 6) AS p FROM z, q WHERE t0 BETWEEN -40 AND 40 GROUP BY 1, t0")
+@query("student_test", f"WITH {SIMPSON}, {USERS}, z AS (SELECT user_id, m / sqrt(v) AS t0, atan(m / sqrt(v) / sqrt(7)) AS angle FROM u) SELECT user_id, round(t0, 6) AS t, round(0.5 - sum(w * angle / 10 * pow(cos(angle * q.t / 10), 6)) * 16 / (5 * pi()), 6) AS p FROM z, q GROUP BY 1, t0")
 def student_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = users(spark, sf_dir).select("user_id", "m", F.sqrt("v").alias("sd")).filter(F.abs(F.col("m") / F.col("sd")) <= 40)
+    """The chance of more than t, against the integral over the angle, in which the tails have an end."""
+    rows = users(spark, sf_dir).select("user_id", "m", F.sqrt("v").alias("sd"))
     return stats.t_and_p(rows, "m", "sd", 7).select("user_id", F.round("t", 6).alias("t"), F.round("p", 6).alias("p"))
 
 
@@ -225,68 +247,78 @@ def cumulative_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 # bases and signals
 
 
-@query("difference_matrix", "SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(CASE j - i WHEN 0 THEN -2 ELSE 1 END AS DOUBLE) AS x FROM range(12) a(i), range(12) b(j) WHERE abs(i - j) <= 1")
-def difference_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _entries(spark, signal.finite_differences(2, 12)).filter("x <> 0")
+SERIES = "s AS (SELECT user_id, list(value ORDER BY ts, event_id) AS y, count(*) AS n FROM events GROUP BY 1), f AS (SELECT user_id, n, CAST(i - 1 AS DOUBLE) AS t, y[i] AS v FROM s, LATERAL (SELECT unnest(range(1, n + 1)) AS i))"
 
 
-@query("smoothness_matrix", "WITH d AS (SELECT i, j, CASE j - i WHEN 0 THEN -2.0 ELSE 1.0 END AS x FROM range(12) a(i), range(12) b(j) WHERE abs(i - j) <= 1) SELECT CAST(p.j AS INTEGER) AS i, CAST(q.j AS INTEGER) AS j, CAST(round(sum(p.x * q.x) / pow(0.5, 4), 6) AS DOUBLE) AS x FROM d p JOIN d q ON p.i = q.i GROUP BY 1, 2")
-def smoothness_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _entries(spark, signal.smoothness_precision(12, 0.5)).filter("x <> 0").withColumn("x", F.round("x", 6))
+def whole_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's values in the order of time, as an array."""
+    order = F.sort_array(F.collect_list(F.struct("ts", "event_id", "value")))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(order, lambda s: s["value"]).alias("y"))
 
 
-def _entries(spark: SparkSession, m: np.ndarray) -> DataFrame:
-    """A design's own matrix, of few rows, as cells."""
-    return spark.createDataFrame([(i, j, float(m[i, j])) for i in range(m.shape[0]) for j in range(m.shape[1])], "i int, j int, x double")
+@query("difference_matrix", f"WITH {SERIES} SELECT user_id, CAST(i AS INTEGER) AS i, round(coalesce(y[i], 0) * CASE WHEN i > 0 THEN 1 ELSE 0 END - 2 * y[i + 1] + coalesce(y[i + 2], 0), 6) + 0.0 AS v FROM s, LATERAL (SELECT unnest(range(n)) AS i)")
+def difference_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second central differences of each user's values, zeros beyond the ends."""
+    out = whole_signals(spark, sf_dir).select("user_id", signal.differenced(F.col("y"), 2).alias("d"))
+    return out.select("user_id", F.posexplode("d").alias("i", "v")).withColumn("v", F.round("v", 6) + 0.0)
+
+
+@query("smoothness_matrix", f"WITH {SERIES}, d AS (SELECT user_id, coalesce(y[i], 0) * CASE WHEN i > 0 THEN 1 ELSE 0 END - 2 * y[i + 1] + coalesce(y[i + 2], 0) AS d FROM s, LATERAL (SELECT unnest(range(n)) AS i)) SELECT user_id, round(sum(d * d) / pow(0.5, 4), 2) AS roughness FROM d GROUP BY 1")
+def smoothness_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the smoothness prior takes of each user's values: the quadratic form of its precision matrix."""
+    return whole_signals(spark, sf_dir).select("user_id", F.round(signal.roughness(F.col("y"), 0.5), 2).alias("roughness"))
 
 
 @query("canonical_response", """
-    WITH t AS (SELECT i, i * 0.5 AS t FROM range(51) r(i)), g AS (SELECT i, CASE WHEN i IN (0, 50) THEN 0 ELSE exp(5 * ln(t) - t - lgamma(6)) - exp(15 * ln(t) - t - lgamma(16)) / 6 END AS h FROM t)
-    SELECT CAST(i AS INTEGER) AS i, round(h / sqrt(sum(h * h) OVER ()), 8) AS h FROM g
+    WITH n AS (SELECT user_id, CAST(floor(epoch(ts) / 21600) AS BIGINT) AS scan, count(*) AS n FROM events GROUP BY 1, 2),
+         t AS (SELECT i, i * 0.5 AS t FROM range(51) r(i)), g AS (SELECT i, CASE WHEN i IN (0, 50) THEN 0 ELSE exp(5 * ln(t) - t - lgamma(6)) - exp(15 * ln(t) - t - lgamma(16)) / 6 END AS h FROM t),
+         k AS (SELECT i, h / sqrt(sum(h * h) OVER ()) AS h FROM g)
+    SELECT user_id, scan + i AS scan, round(sum(n * h), 6) + 0.0 AS response FROM n, k GROUP BY 1, 2
 """)
 def canonical_response(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = signal.canonical_response(25.0, 0.5)
-    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(h)], "i int, h double").withColumn("h", F.round("h", 8))
-
+    """Each user's events by quarter of a day, convolved with the canonical response."""
+    from gridsignal.plans.event_queries import micros
 
-@query("kernel_weights", "SELECT CAST(o + 3 AS INTEGER) AS i, round(exp(-o * o / 3.0) / sum(exp(-o * o / 3.0)) OVER (), 8) AS h FROM range(-3, 4) r(o)")
-def kernel_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(signal.gaussian_kernel(3))], "i int, h double").withColumn("h", F.round("h", 8))
+    h = F.array(*[F.lit(float(x)) for x in signal.canonical_response(25.0, 0.5)])
+    n = table(spark, sf_dir, "events").groupBy("user_id", F.floor(micros() / 21600e6).cast("long").alias("scan")).agg(F.count(F.lit(1)).alias("n"))
+    spread = n.select("user_id", "scan", "n", F.posexplode(h).alias("lag", "h"))
+    return spread.groupBy("user_id", (F.col("scan") + F.col("lag")).alias("scan")).agg((F.round(F.sum(F.col("n") * F.col("h")), 6) + 0.0).alias("response"))
 
 
-SERIES = "s AS (SELECT user_id, list(value ORDER BY ts, event_id) AS y FROM events GROUP BY 1 HAVING count(*) >= 20), f AS (SELECT user_id, CAST(i - 1 AS DOUBLE) AS t, y[i] AS v FROM s, range(1, 21) r(i))"
-
-
-def first_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's first 20 values as an array; users with fewer have no such signal."""
-    order = F.sort_array(F.collect_list(F.struct("ts", "event_id", "value")))
-    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.slice(F.transform(order, lambda s: s["value"]), 1, 20).alias("y"))
-    return rows.filter(F.size("y") == 20)
+@query("kernel_weights", """
+    WITH d AS (SELECT o_orderpriority AS priority, date_diff('month', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS month, sum(o_totalprice) AS total FROM orders GROUP BY 1, 2),
+         k AS (SELECT o, exp(-o * o / 3.0) / sum(exp(-o * o / 3.0)) OVER () AS w FROM range(-3, 4) r(o))
+    SELECT priority, CAST(month + o AS BIGINT) AS month, round(sum(total * w), 2) AS total FROM d, k GROUP BY 1, 2 HAVING count(*) = 7
+""")
+def kernel_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly totals of each priority smoothed by the Gaussian kernel, where all seven months are there."""
+    month = (F.year("o_orderdate") - 1992) * 12 + F.month("o_orderdate") - 1
+    totals = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("priority"), month.cast("long").alias("month")).agg(F.sum("o_totalprice").alias("total"))
+    return signal.blurred(totals, ["priority"], "month", "total", 3).withColumn("total", F.round("total", 2))
 
 
-@query("undrifted", f"WITH {SERIES}, k AS (SELECT user_id, regr_slope(v, t) AS b, regr_intercept(v, t) AS a FROM f GROUP BY 1) SELECT f.user_id, CAST(t AS INTEGER) AS t, round(v - a - b * t, 6) + 0.0 AS v FROM f JOIN k USING (user_id)")
+@query("undrifted", f"WITH {SERIES}, k AS (SELECT user_id, CASE WHEN count(*) > 1 THEN regr_slope(v, t) ELSE 0 END AS b, CASE WHEN count(*) > 1 THEN regr_intercept(v, t) ELSE any_value(v) END AS a FROM f GROUP BY 1) SELECT f.user_id, CAST(t AS INTEGER) AS t, round(v - a - b * t, 4) + 0.0 AS v FROM f JOIN k USING (user_id)")
 def undrifted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = signal.undrifted(first_values(spark, sf_dir), "y", signal.polynomial_basis(20, 1))
-    return out.select("user_id", F.posexplode("y").alias("t", "v")).withColumn("v", F.round("v", 6) + 0.0)
+    out = signal.undrifted(whole_signals(spark, sf_dir), "y", lambda n: signal.polynomial_basis(n, 1))
+    return out.select("user_id", F.posexplode("y").alias("t", "v")).withColumn("v", F.round("v", 4) + 0.0)
 
 
-@query("drift_energy", f"WITH {SERIES}, b AS (SELECT k, i, CASE k WHEN 0 THEN 1 / sqrt(20) ELSE cos(pi() * k * (2 * i + 1) / 40) * sqrt(0.1) END AS w FROM range(3) a(k), range(20) r(i)), p AS (SELECT user_id, k, sum(v * w) AS c FROM f JOIN b ON b.i = f.t GROUP BY 1, 2) SELECT user_id, round(sum(c * c), 4) AS energy FROM p GROUP BY 1")
+@query("drift_energy", f"WITH {SERIES}, p AS (SELECT user_id, k, sum(v * CASE k WHEN 0 THEN 1 / sqrt(n) ELSE cos(pi() * k * (2 * t + 1) / (2 * n)) * sqrt(2.0 / n) END) AS c FROM f, LATERAL (SELECT unnest(range(greatest(1, CAST(floor(2 * n / 13.0 + 1) AS BIGINT) - 1))) AS k) GROUP BY 1, 2) SELECT user_id, round(sum(c * c), 4) AS energy FROM p GROUP BY 1")
 def drift_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Energy of the slow part: coefficients on a constant and two cosines."""
-    basis = signal.cosine_basis(20, 13.0, 1.0)
-    c = signal.projector(basis, F.col("y"))
-    return first_values(spark, sf_dir).select("user_id", F.round(F.aggregate(c, F.lit(0.0), lambda t, x: t + x * x), 4).alias("energy"))
+    """Energy of the slow part: coefficients on a constant and the cosines slower than 13 scans."""
+    c = signal.cosine_coefficients(F.col("y"), 13.0, 1.0)
+    return whole_signals(spark, sf_dir).select("user_id", F.round(F.aggregate(c, F.lit(0.0), lambda t, x: t + x * x), 4).alias("energy"))
 
 
-@query("finer_signal", f"WITH {SERIES} SELECT user_id, CAST(i AS INTEGER) AS i, round(y[i // 4 + 1] + (y[i // 4 + 2] - y[i // 4 + 1]) * (i % 4) / 4.0, 6) AS v FROM s, range(76) r(i)")
+@query("finer_signal", f"WITH {SERIES} SELECT user_id, CAST(i AS INTEGER) AS i, round(y[i // 4 + 1] + (y[i // 4 + 2] - y[i // 4 + 1]) * (i % 4) / 4.0, 6) AS v FROM s, LATERAL (SELECT unnest(range((n - 1) * 4)) AS i)")
 def finer_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = first_values(spark, sf_dir).withColumn("y", signal.resampled_signal(F.col("y"), 4))
+    rows = whole_signals(spark, sf_dir).withColumn("y", signal.resampled_signal(F.col("y"), 4))
     return rows.select("user_id", F.posexplode("y").alias("i", "v")).withColumn("v", F.round("v", 6))
 
 
-@query("closest_value", f"WITH {SERIES}, o AS (SELECT user_id, list_sort(y[1:20]) AS x FROM s), d AS (SELECT user_id, i, abs(x[i] - 50) AS d FROM o, range(1, 21) r(i)) SELECT user_id, CAST(arg_min(i, d * 1000 - i * 1e-9) - 1 AS INTEGER) AS place FROM d GROUP BY 1")
+@query("closest_value", f"WITH {SERIES}, o AS (SELECT user_id, n, list_sort(y) AS x FROM s), d AS (SELECT user_id, i, abs(x[i] - 50) AS d FROM o, LATERAL (SELECT unnest(range(1, n + 1)) AS i)) SELECT user_id, CAST(arg_min(i, d * 1000 - i * 1e-9) - 1 AS INTEGER) AS place FROM d GROUP BY 1")
 def closest_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return first_values(spark, sf_dir).select("user_id", signal.closest(F.array_sort("y"), F.lit(50.0)).alias("place"))
+    return whole_signals(spark, sf_dir).select("user_id", signal.closest(F.array_sort("y"), F.lit(50.0)).alias("place"))
 
 
 # trees and names

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridsignal.operators import models
-from gridsignal.operators.simulation import simulate
+from tests.simulation import simulate
 from gridsignal.plans import model_queries
 
 
@@ -102,3 +102,32 @@ def test_a_failing_voxel_is_reported_alone(truth):
 
     got = models.fit_voxels(truth.signals.filter("parcel = 1"), broken).toPandas()
     assert list(got[got["report"] != "ok"]["voxel"]) == [3] and len(got) == truth.signals.filter("parcel = 1").count()
+
+
+def test_glm_with_correlated_residuals(spark):
+    r = np.random.default_rng(12)
+    n = 60
+    x = np.column_stack([np.ones(n), np.linspace(-1, 1, n), np.sin(np.arange(n) / 3)])
+    rows, want = [], {}
+    for v in range(12):
+        e = np.zeros(n)
+        for t in range(1, n):
+            e[t] = 0.6 * e[t - 1] + r.standard_normal()
+        y = x @ r.standard_normal(3) + e
+        rows.append((v, [float(a) for a in y]))
+        rest = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
+        rho = rest[1:] @ rest[:-1] / (rest @ rest)
+        white = np.eye(n) - rho * np.eye(n, k=-1)
+        white[0, 0] = np.sqrt(1 - rho**2)
+        wx, wy = white @ x, white @ y
+        beta = np.linalg.lstsq(wx, wy, rcond=None)[0]
+        s2 = ((wy - wx @ beta) ** 2).sum() / (n - 3)
+        c = np.array([0.0, 1.0, -1.0])
+        want[v] = [rho, *beta, s2, c @ beta, s2 * (c @ np.linalg.inv(wx.T @ wx) @ c)]
+    rows += [(90, None), (91, [0.0] * n)]
+    got = {z["voxel"]: z for z in models.glm_ar1(spark.createDataFrame(rows, "voxel long, y array<double>"), x, {"d": [0, 1, -1]}).collect()}
+    for v, w in want.items():
+        z = got[v]
+        assert [z["rho"], *z["beta"], z["s2"], z["effect_d"], z["var_d"]] == pytest.approx(w, rel=1e-8, abs=1e-10)
+        assert z["t_d"] == pytest.approx(w[5] / np.sqrt(w[6]), rel=1e-8)
+    assert got[90]["beta"] is None and got[90]["rho"] is None and got[91]["beta"] == [0.0] * 3
