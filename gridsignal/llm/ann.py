@@ -10,7 +10,7 @@ Chances: at the level's distance a line collides with probability 2 Phi(WIDTH /
 lines do with probability above 0.998; at twice the distance the mean is 25.
 
 Defined results: vectors that are null, zero, or hold null or non-finite parts take no part, neither do rows without
-id; shorter vectors count as filled up with zeros; ties go to the smaller id; a repeated query id is searched once; with
+id; shorter vectors count as filled up with zeros; ties go to the smaller id; a repeated query id is searched once, by its least vector; with
 fewer than k candidates all are found; an empty table gives no rows; extra columns are ignored. A repeated row is a
 candidate as often as it occurs.
 """

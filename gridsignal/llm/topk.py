@@ -10,7 +10,7 @@ Python's integers.
 
 Defined results: vectors that are null or hold null or non-finite parts take no part, neither do those with a part that
 scaling makes infinite (beyond 7e305) or rows without id; scores are ranked exactly up to 38 digits and returned as the
-nearest long; beyond 38 digits they tie. Shorter vectors count as filled up with zeros; ties go to the smaller id; a repeated query id is searched once; an empty
+nearest long; beyond 38 digits they tie. Shorter vectors count as filled up with zeros; ties go to the smaller id; a repeated query id is searched once, by its least vector; an empty
 table gives no rows; extra columns are ignored. A repeated row is a candidate as often as it occurs.
 """
 

@@ -53,7 +53,8 @@ def search_blocks(rows: DataFrame, is_query, k: int, index: Index, score_type: s
     Rows are dealt to blocks of bounded size, copies of one row too. A task has one block: it reads the block's rows
     first and indexes them once, then the queries stream past in batches, so its memory doesn't grow with their number.
     A row is copied only for every ``BLOCK_QUERIES`` queries, a query goes to each block, and a block returns at most k
-    rows a query. A repeated query id is searched once; rows with the query's own id are no candidates.
+    rows a query. A repeated query id is searched once, by its least vector (component by component); rows with the query's
+    own id are no candidates.
     """
     sizes = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(is_query).alias("queries")).first()
     blocks = max(1, -(-sizes["rows"] // BLOCK_ROWS), min(BLOCKS, sizes["rows"] // LEAST_ROWS))
@@ -61,7 +62,8 @@ def search_blocks(rows: DataFrame, is_query, k: int, index: Index, score_type: s
     dealt = F.pmod(F.xxhash64("vec_id", "vector", F.monotonically_increasing_id()), F.lit(blocks))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     data = rows.select("vec_id", "vector", dealt.alias("block"), F.lit(False).alias("asked")).select("*", every(slices).alias("slice"))
-    queries = rows.filter(is_query).dropDuplicates(["vec_id"])
+    # the order of rows must not decide which vector a repeated id stands for
+    queries = rows.filter(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     asked = queries.select("vec_id", "vector", every(blocks).alias("block"), F.lit(True).alias("asked"), F.pmod(F.xxhash64("vec_id"), F.lit(slices)).alias("slice"))
     both = data.unionByName(asked).select("vec_id", "vector", "asked", (F.col("block") * slices + F.col("slice")).cast("int").alias("task"))
     kind = pa.float64() if score_type == "double" else pa.decimal128(38, 0)

@@ -127,3 +127,10 @@ def test_tables_of_queries_only_and_longer_queries(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0, 3.0]), (1, [1.0, 1.0]), (2, [2.0])], "vec_id long, embedding array<double>")
     assert [tuple(r)[2:] for r in topk.top_k(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 256 * 256 * 3), (2, 256 * 256 * 2)]
     assert [r["vec_id"] for r in ann.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [1, 2]
+
+
+@pytest.mark.parametrize("search", [topk.top_k, ann.nearest])
+def test_a_repeated_query_id_stands_for_its_least_vector(spark, search):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0]), (3, [0.5, 0.5])]
+    found = [ranked(search(spark.createDataFrame(t, "vec_id long, embedding array<double>").coalesce(1), F.col("vec_id") % 50 == 0, 2).collect()) for t in (rows, rows[::-1], [rows[1], rows[0], *rows[2:]])]
+    assert found[0] == found[1] == found[2] and [i for i, _ in found[0][0]] == [2, 3]
