@@ -43,7 +43,7 @@ def ward_merges(nodes: DataFrame, edges: DataFrame, features: str = "features")
         priced = links.join(a, "c").join(b, "d")
         # both ends see the same order: cost, then the pair
         order = F.struct(rise("n1", "s1", "n2", "s2").alias("cost"), F.least("c", "d").alias("x"), F.greatest("c", "d").alias("y"))
-        nearest = written(priced.groupBy("c").agg(F.min(F.struct(order.alias("o"), "parcel", "h1", "h2")).alias("m")))
+        nearest = priced.groupBy("c").agg(F.min(F.struct(order.alias("o"), "parcel", "h1", "h2")).alias("m"))
         pairs = nearest.select("c", "m.*").select("c", "parcel", "o.*", "h1", "h2")
         again = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("k"), F.first("parcel").alias("parcel"), F.max(F.greatest("cost", "h1", "h2")).alias("height"))
         merged = written(again.filter("k = 2").select("parcel", F.col("x").alias("a"), F.col("y").alias("b"), "height"))
