@@ -40,11 +40,17 @@ def missing(numbers: DataFrame, by: list[str], number: str = "number") -> DataFr
 
 
 def duplicates(values: DataFrame, position: str, value: str) -> DataFrame:
-    """(value, positions): where repeated values stand."""
+    """(value, positions): where repeated values stand, an array a value; ``duplicate_rows`` where a value may be frequent."""
     more = values.groupBy(value).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(value)
     return values.join(more, value, "left_semi").groupBy(value).agg(F.sort_array(F.collect_list(position)).alias("positions"))
 
 
+def duplicate_rows(values: DataFrame, position: str, value: str) -> DataFrame:
+    """(value, position, n): the rows whose value occurs n > 1 times, one row each, so a frequent value is in no array."""
+    more = values.groupBy(value).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return values.select(value, position).join(more, value).select(value, position, "n")
+
+
 def cartesian(first: DataFrame, *others: DataFrame) -> DataFrame:
     """All combinations of small argument tables."""
     for other in others:

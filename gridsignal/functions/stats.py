@@ -150,6 +150,21 @@ def plotting_quantile(sample: Column, p: float, a: float = 0.4, b: float = 0.4)
     return F.when(n == 1, xs[0]).otherwise((1 - part) * F.get(xs, k - 1) + part * F.get(xs, k))
 
 
+def plotting_quantiles(df: DataFrame, by: list[str], value: str, p: float, name: str = "quantile", a: float = 0.4, b: float = 0.4) -> DataFrame:
+    """(by, name): ``plotting_quantile`` of each group, by ranks, so that a group's values are in no array and a frequent group
+    is several tasks' work. Null values take no part."""
+    from gridsignal.operators.ranking import number_within
+
+    ranked = number_within(df.filter(F.col(value).isNotNull()).select(*by, value), by, [value], "_k", 1)
+    sizes = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    at = F.lit(p) * (F.col("_n") + (1 - a - b)) + F.lit(a)
+    low = F.greatest(F.lit(1), F.least(F.col("_n") - 1, F.floor(at)))
+    sizes = sizes.withColumn("_low", low).withColumn("_part", F.when(F.col("_n") == 1, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), at - F.col("_low")))))
+    near = ranked.join(sizes, by).filter((F.col("_k") == F.col("_low")) | (F.col("_k") == F.col("_low") + 1))
+    weight = F.when(F.col("_k") == F.col("_low"), 1 - F.col("_part")).otherwise(F.col("_part"))
+    return near.groupBy(*by).agg(F.sum(weight * F.col(value)).alias(name))
+
+
 def ppm_a_mcmc(sample: Column, alpha: float = 0.05) -> Column:
     return plotting_quantile(sample, 1 - alpha)
 

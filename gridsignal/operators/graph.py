@@ -185,18 +185,18 @@ def parcel_edges(edges: DataFrame, parcels: DataFrame, node: str = "node", parce
 
 
 def breadth_first(edges: DataFrame, roots: DataFrame, max_depth: int | None = None, node: str = "node") -> DataFrame:
-    """(node, depth) of all nodes within ``max_depth`` steps of a root; the frontier alone is joined each round."""
-    ensure_checkpoint_dir(edges.sparkSession)
-    found = roots.select(F.col(node).alias("node")).distinct().withColumn("depth", F.lit(0)).checkpoint()
-    frontier, depth = found, 0
+    """(node, depth) of all nodes within ``max_depth`` steps of a root; the frontier alone is joined and written each round."""
+    found = [written(roots.select(F.col(node).alias("node")).distinct().withColumn("depth", F.lit(0)))]
+    out, depth = found[0], 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        step = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = step.join(found, "node", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        step = found[-1].join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        frontier = written(step.join(out.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        found = found.union(frontier).checkpoint()
-    return found
+        found.append(frontier)
+        out = out.union(frontier)
+    return out
 
 
 def components_within(edges: DataFrame, labels: DataFrame, min_size: int = 0, node: str = "node", label: str = "label") -> DataFrame:

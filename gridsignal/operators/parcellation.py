@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from gridsignal.operators.matching import best_matching
 
+#: Seeds that the plan of ``nearest_vector`` may hold.
+MOST_SEEDS = 10_000
+
 
 def parcel_sizes(df: DataFrame, parcel: str = "parcel") -> DataFrame:
     return df.groupBy(parcel).agg(F.count(F.lit(1)).alias("size"))
@@ -97,8 +100,12 @@ def voronoi(df: DataFrame, coords: list[str], seeds: list[tuple], label: str = "
 
 
 def nearest_vector(df: DataFrame, vector: str, seeds: DataFrame, seed_id: str, label: str = "seed") -> DataFrame:
-    """Id of the seed vector with the least squared distance, ties to the smaller id. ``seeds``: a bounded list."""
-    rows = sorted((r[seed_id], [float(x) for x in r[vector]]) for r in seeds.select(seed_id, vector).collect())
+    """Id of the seed vector with the least squared distance, ties to the smaller id. ``seeds`` become part of the plan, so
+    there may be ``MOST_SEEDS`` at most."""
+    few = seeds.select(seed_id, vector).limit(MOST_SEEDS + 1).collect()
+    if len(few) > MOST_SEEDS:
+        raise ValueError(f"more than {MOST_SEEDS} seeds")
+    rows = sorted((r[seed_id], [float(x) for x in r[vector]]) for r in few)
     array = F.array(*[F.array(*[F.lit(x) for x in v]) for _, v in rows])
     distances = F.transform(array, lambda s: F.aggregate(F.zip_with(F.col(vector).cast("array<double>"), s, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x))
     ids = F.array(*[F.lit(i) for i, _ in rows]).cast(f"array<{dict(seeds.dtypes)[seed_id]}>")

@@ -220,7 +220,7 @@ def mixture_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT user_id, round(CASE WHEN n = 1 THEN x[1] ELSE (1 - greatest(0, least(1, place - k))) * x[k] + greatest(0, least(1, place - k)) * x[k + 1] END, 6) AS ppm FROM k
 """)
 def ppm_alpha_mcmc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(stats.ppm_a_mcmc(F.col("value")), 6).alias("ppm"))
+    return stats.plotting_quantiles(table(spark, sf_dir, "events"), ["user_id"], "value", 0.95, "ppm").withColumn("ppm", F.round("ppm", 6))
 
 
 @query("threshold_labels", "SELECT event_id, CAST(value / 100 >= 0.5 AS INTEGER) AS label FROM events")

@@ -21,6 +21,7 @@ from gridsignal.operators import graph, models, parcellation
 from gridsignal.operators.ranking import global_row_number
 from gridsignal.paradigm import Paradigm
 from gridsignal.session import written
+from gridsignal.sources.images import read_surfaces
 from gridsignal.sources.volumes import load_volumes, write_volumes
 
 COLUMNS = ["subject", "parcel", "voxel", "x", "y", "z", "y_"]
@@ -51,7 +52,8 @@ def mask_from_bold(bold: DataFrame, low: float = 0.4, high: float = 0.9) -> Data
 
 @dataclass(frozen=True)
 class Study:
-    """``mask``: x, y, z, parcel of all cells of the space; ``scans``: the sessions' lengths; ``tr``: seconds a scan."""
+    """``mask``: x, y, z, parcel of all cells of the space; ``scans``: the sessions' lengths; ``tr``: seconds a scan; ``edges``: the
+    neighbours (src, dst) on a surface, whose voxels are its nodes."""
 
     cells: DataFrame
     tr: float
@@ -59,6 +61,7 @@ class Study:
     paradigm: Paradigm | None = None
     mask: DataFrame | None = None
     background: int = 0
+    edges: DataFrame | None = None
 
     @classmethod
     def from_volumes(cls, spark: SparkSession, mask: str | None, paradigm: str, bold: Sequence[str], tr: float, subject: str = "0", background: int = 0, conditions: Sequence[str] | None = None, delimiter: str | None = None) -> Study:
@@ -90,6 +93,34 @@ class Study:
         cells = full.filter(usable).select(F.lit(subject).alias("subject"), "parcel", "voxel", *AXES, "y_")
         return cls(cells, tr, scans, design, space, background)
 
+    @classmethod
+    def from_surfaces(cls, spark: SparkSession, mesh: str, paradigm: str, bold: Sequence[str], tr: float, mask: str | None = None, subject: str = "0", background: int = 0, delimiter: str | None = None) -> Study:
+        """From a mesh, a design and the sessions' textures (an array a scan); without a texture of labels all nodes are parcel 1.
+
+        Nodes that a session lacks raise; nodes whose signal is constant 0 or holds NaN are left out.
+        """
+        surface = written(read_surfaces(spark, mesh))
+        coords = surface.filter("intent = 'NIFTI_INTENT_POINTSET'").groupBy(F.col("i").cast("long").alias("voxel")).pivot("j", [0, 1, 2]).agg(F.first("value"))
+        coords = coords.select("voxel", *[F.col(str(k)).alias(a) for k, a in enumerate(AXES)])
+        corners = surface.filter("intent = 'NIFTI_INTENT_TRIANGLE'").groupBy("i").pivot("j", [0, 1, 2]).agg(F.first("value"))
+        edges = written(graph.mesh_edges(corners.select(*[F.col(str(k)).cast("long").alias(c) for k, c in enumerate("abc")])))
+        labels = read_surfaces(spark, mask).filter("array = 0").select(F.col("i").cast("long").alias("voxel"), F.col("value").cast("int").alias("parcel")) if mask else coords.select("voxel", F.lit(1).alias("parcel"))
+        rows = None
+        for k, path in enumerate(bold):
+            own = read_surfaces(spark, path).select(F.lit(k).alias("session"), F.col("array").alias("t"), F.col("i").cast("long").alias("voxel"), "value")
+            rows = own if rows is None else rows.unionByName(own)
+        lengths = {r["session"]: r["n"] for r in rows.groupBy("session").agg((F.max("t") + 1).alias("n")).collect()}
+        scans = tuple(lengths.get(i, 0) for i in range(len(bold)))
+        values = F.sort_array(F.collect_list(F.struct("session", "t", "value")))
+        signals = rows.groupBy("voxel").agg(F.transform(values, lambda v: v["value"]).alias("y_"))
+        full = written(labels.filter(F.col("parcel") != background).join(coords, "voxel").join(signals, "voxel", "left"))
+        short = full.filter(F.coalesce(F.size("y_"), F.lit(0)) != sum(scans)).select("voxel").first()
+        if short:
+            raise ValueError(f"the sessions don't cover the surface's node {short['voxel']}")
+        usable = F.exists("y_", lambda v: v != 0) & ~F.exists("y_", lambda v: v.isNull() | F.isnan(v))
+        cells = full.filter(usable).select(F.lit(subject).alias("subject"), "parcel", "voxel", *AXES, "y_")
+        return cls(cells, tr, scans, Paradigm.from_csv(spark, paradigm, delimiter), coords.join(labels, "voxel").select(*AXES, "parcel"), background, edges)
+
     @classmethod
     def from_signals(cls, signals: DataFrame, tr: float, n_scans: int, paradigm: Paradigm | None = None, subject: str = "0") -> Study:
         """From rows (parcel, voxel, y) without a place."""
@@ -144,9 +175,17 @@ class Study:
     def parcel_edges(self) -> DataFrame:
         """(parcel, src, dst): neighbouring voxels of each parcel."""
         places = self.cells.select("voxel", "parcel", *AXES).distinct()
-        edges = graph.lattice_edges(places, AXES, "voxel", graph.KERNELS["3D-6n"])
+        edges = self.edges if self.edges is not None else graph.lattice_edges(places, AXES, "voxel", graph.KERNELS["3D-6n"])
         return graph.parcel_edges(edges, places, "voxel")
 
+    def edge_lengths(self) -> DataFrame:
+        """(parcel, src, dst, length): ``parcel_edges`` with the distance of both voxels' places."""
+        places = self.cells.select("voxel", *AXES).distinct()
+        ends = [places.select(F.col("voxel").alias(end), *[F.col(a).alias(f"_{end}_{a}") for a in AXES]) for end in ("src", "dst")]
+        met = self.parcel_edges().join(ends[0], "src").join(ends[1], "dst")
+        far = graph.distance(*[[F.col(f"_{end}_{a}") for a in AXES] for end in ("src", "dst")])
+        return met.select("parcel", "src", "dst", far.alias("length"))
+
     def sizes(self) -> DataFrame:
         """(subject, parcel, n_voxels)"""
         return self.cells.groupBy("subject", "parcel").agg(F.count(F.lit(1)).alias("n_voxels"))

@@ -112,3 +112,18 @@ def test_missing_cells_raise_and_masks_are_made(spark, files, tmp_path):
     bright = spark.createDataFrame([(x, y, z, t, (100.0 if 1 <= x <= 3 and z == 1 else 60.0 if (x, y, z) == (5, 5, 3) else 10.0) + t + 0.1 * y + 0.01 * x) for x in range(6) for y in range(6) for z in range(4) for t in range(2)], "x int, y int, z int, t int, value double")
     got = {(r["x"], r["y"], r["z"]) for r in st.mask_from_bold(bright, 0.4, 0.95).filter("value = 1").collect()}
     assert got == {(x, y, 1) for x in (1, 2, 3) for y in range(6)}
+
+
+def test_a_study_on_a_surface(spark, tmp_path):
+    coords = spark.createDataFrame([("m", i, float(i % 3), float(i // 3), 0.0) for i in range(6)], "item string, node int, x double, y double, z double")
+    triangles = spark.createDataFrame([("m", 0, 1, 3), ("m", 1, 4, 3), ("m", 1, 2, 4), ("m", 2, 5, 4)], "item string, a int, b int, c int")
+    volumes.write_meshes(coords, triangles, str(tmp_path), "item")
+    series = spark.createDataFrame([("bold", n, t, 0.0 if n == 5 else n + 0.5 * t) for n in range(6) for t in range(4)], "item string, node int, t int, value double")
+    volumes.write_textures(series, str(tmp_path), "item", time="t")
+    labels = spark.createDataFrame([("labels", n, (0, 1, 1, 2, 1, 1)[n]) for n in range(6)], "item string, node int, value int")
+    volumes.write_textures(labels, str(tmp_path), "item")
+    (tmp_path / "design.txt").write_text('0 "a" 1. 0.\n')
+    s = st.Study.from_surfaces(spark, f"{tmp_path}/m.gii", f"{tmp_path}/design.txt", [f"{tmp_path}/bold.gii"] * 2, 2.0, f"{tmp_path}/labels.gii")
+    assert s.scans == (4, 4) and {r["voxel"]: (r["parcel"], r["y_"][5]) for r in s.cells.collect()} == {n: ((0, 1, 1, 2, 1)[n], n + 0.5) for n in (1, 2, 3, 4)}
+    assert {(r["src"], r["dst"]): r["length"] for r in s.edge_lengths().collect()} == {(1, 2): 1.0, (2, 1): 1.0, (1, 4): 1.0, (4, 1): 1.0, (2, 4): 2**0.5, (4, 2): 2**0.5}
+    assert st.Study.from_surfaces(spark, f"{tmp_path}/m.gii", f"{tmp_path}/design.txt", [f"{tmp_path}/bold.gii"], 2.0).cells.count() == 5
