@@ -96,9 +96,9 @@ def split_quotas(quotas: DataFrame, n_shards: int, seed: int) -> DataFrame:
     for _ in range(depth):
         split = F.floor((F.col("lo") + F.col("hi") + 1) / 2).cast("int")
         node = node.withColumn("mid", F.when(F.col("hi") - F.col("lo") > 1, split).otherwise(F.col("hi")))
-        w = Window.partitionBy("lo", "hi")
-        items = F.sort_array(F.collect_list(F.struct(F.col("source").isNull().alias("z"), F.col("source").alias("source"), F.col("n").alias("n"))).over(w))
-        per_node = node.withColumn("items", items).dropDuplicates(["lo", "hi"]).select("lo", "hi", "mid", "items")
+        # one array of all sources a node, one row a source in it
+        items = F.sort_array(F.collect_list(F.struct(F.col("source").isNull().alias("z"), F.col("source").alias("source"), F.col("n").alias("n"))))
+        per_node = node.groupBy("lo", "hi", "mid").agg(items.alias("items"))
         total = F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + x["n"])
         left = F.round(total * (F.col("mid") - F.col("lo")) / (F.col("hi") - F.col("lo"))).cast("long")
         per_node = per_node.withColumn("total", total).withColumn("left", left)
