@@ -55,7 +55,8 @@ class FileWriter(DataSourceWriter):
                 raise ValueError(f"{row['name']!r} isn't a name below the target folder")
             target = posixpath.join(own, name)
             store.create_dir(posixpath.dirname(target), recursive=True)
-            with store.open_output_stream(target) as out:
+            # the content is the file's: nothing is packed by the name's ending
+            with store.open_output_stream(target, compression=None) as out:
                 out.write(bytes(row["content"]))
             names.append(name)
         return Written(own, names)

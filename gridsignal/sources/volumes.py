@@ -98,7 +98,7 @@ class VolumeReader(DataSourceReader):
             return
         store, _ = opened(self.path)
         if slab.whole:
-            with store.open_input_stream(slab.path) as f:
+            with store.open_input_stream(slab.path, compression=None) as f:
                 data, _ = decode_nifti(f.read())
             shape, start, end = data.shape, 0, data.shape[-1]
         else:
