@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsignal.llm.parts import MESSAGE, Sketch, by_shard, in_parts, merge_sketches, part_count, squeeze_sorted, table, unsqueeze_sorted
+from gridsignal.llm.parts import MESSAGE, Sketch, by_shard, give_back, in_parts, merge_sketches, part_count, squeeze_sorted, table, unsqueeze_sorted
 from gridsignal.llm.text import Words, mixed, ngrams, same_row
 from gridsignal.operators.graph import connected_components
 from gridsignal.session import written
@@ -180,6 +180,7 @@ def signature_table(docs: DataFrame, text_col: str, n: int, p: int, q: int) -> D
         return data.take(pa.array(keep, pa.int64()))
 
     def sketch(data: pa.Table, wanted: pa.Table) -> pa.Table:
+        give_back()
         data = chosen_rows(data, wanted)
         if not data.num_rows:
             return table([])
@@ -187,6 +188,7 @@ def signature_table(docs: DataFrame, text_col: str, n: int, p: int, q: int) -> D
         return table(Sketch(found.number, parts, SKETCH_WIDTH, SKETCH_DEPTH).questions(int(data.column("part")[0].as_py()), SKETCH))
 
     def rows(data: pa.Table, other: pa.Table) -> pa.Table:
+        give_back()
         mask = pc.is_null(other.column("kind"))
         data = chosen_rows(data, other.filter(mask))
         sets = ShingleSets(data.column(text_col), n)
@@ -227,8 +229,12 @@ def signature_table(docs: DataFrame, text_col: str, n: int, p: int, q: int) -> D
         )
 
     by_part = parted.groupBy("part")
+    def merge(asked: pa.Table) -> pa.Table:
+        give_back()
+        return table(merge_sketches(asked, SKETCH, SKETCH_WIDTH, SKETCH_DEPTH))
+
     sketches = by_part.cogroup(chosen.groupBy("part")).applyInArrow(sketch, MESSAGE)
-    estimates = by_shard(sketches, parts).applyInArrow(lambda asked: table(merge_sketches(asked, SKETCH, SKETCH_WIDTH, SKETCH_DEPTH)), MESSAGE)
+    estimates = by_shard(sketches, parts).applyInArrow(merge, MESSAGE)
     both = estimates.select("part", "kind", "n", "a", F.col("shard"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("copy_of"))
     none = [F.lit(None).cast(t).alias(c) for c, t in (("kind", "int"), ("n", "int"), ("a", "binary"), ("shard", "int"))]
     both = both.unionByName(chosen.select("part", *none, "id", "copy_of"))
@@ -278,6 +284,7 @@ def by_unit(rows: DataFrame, work, schema: str) -> DataFrame:
     """Apply ``work`` (a table of one unit's rows -> a record batch) to each unit; a task takes many units in turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         held: list[pa.RecordBatch] = []
         current = None
         for batch in batches:

@@ -12,6 +12,7 @@ low, so no repeated key is lost.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 
 from gridsignal.llm.text import mixed
 
+_C = ctypes.CDLL(None)
+
 #: Bytes of text in a part, about.
 PART_BYTES = 8 << 20
 #: Rows of counters, and counters of a shard in each.
@@ -33,6 +36,14 @@ NAMES = ["shard", "part", "kind", "n", "a", "b", "c"]
 SCHEMA = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 
 
+def give_back() -> None:
+    """Return memory that this worker has freed to the system; a worker lives on and takes tasks of other kinds."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_C, "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def part_count(docs: DataFrame, text_col: str = "text", part_bytes: int = PART_BYTES) -> int:
     """Parts for a table: by its bytes of text, two for each core at least."""
     total = docs.agg(F.sum(F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + F.lit(32))).first()[0] or 0

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridsignal.llm.labelled import Bytes, chunks, fold, logistic, read, scored, training_rows
+from gridsignal.llm.parts import give_back
 
 ORDER = 4
 DISCOUNT = 0.75
@@ -173,6 +174,7 @@ def keep_accepted(docs: DataFrame, model: KneserNeyPair, cut: float = CUT) -> Da
             texts = pc.fill_null(batch.column("text"), "")
             low = [shared.value.score(texts.slice(lo, hi - lo)) < cut for lo, hi in chunks(texts)]
             yield batch.filter(pa.array(np.concatenate(low) if low else np.zeros(0, bool)))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
