@@ -9,6 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def exact_sum(x: Column) -> Column:
+    """Sum of doubles that hold decimals (below 10^18, at most 10 places), such as money: the double next to the exact sum, whatever
+    the order of rows. If any other value is among them, the plain sum.
+    """
+    places = x.try_cast("decimal(28,10)")
+    decimals = F.bool_and(F.coalesce(places.cast("double") == x, x.isNull()))
+    return F.coalesce(F.when(decimals, F.try_sum(places).cast("double")), F.sum(x))
+
+
 def normal_isf(p: float) -> float:
     """Upper quantile of the standard normal law, by bisection on its tail."""
     lo, hi = -40.0, 40.0

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridsignal.cuboid import Cuboid, merge, stack_cuboids
@@ -62,8 +64,8 @@ def rescale_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("p_partkey", "p_brand", F.round("p_retailprice", 6).alias("scaled"))
 
 
-def _by_customer(spark: SparkSession, sf_dir: str) -> tuple[Cuboid, Cuboid]:
-    spent = Cuboid.from_table(table(spark, sf_dir, "orders"), ["o_custkey"], "o_totalprice", F.sum, "v")
+def _by_customer(spark: SparkSession, sf_dir: str, total: Callable[[Column], Column] = F.sum) -> tuple[Cuboid, Cuboid]:
+    spent = Cuboid.from_table(table(spark, sf_dir, "orders"), ["o_custkey"], "o_totalprice", total, "v")
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_acctbal").alias("v"))
     return spent, Cuboid(customers, ["o_custkey"], "v")
 
