@@ -161,6 +161,26 @@ def blurred(df: DataFrame, by: list[str], time: str, value: str, width: int) ->
     return spread.groupBy(*by, time).agg(F.sum("c").alias(value), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == 2 * width + 1).drop("_n")
 
 
+def convolved(df: DataFrame, by: list[str], time: str, value: str, kernel: np.ndarray) -> DataFrame:
+    """Each row's value spread by the kernel over its step and those after it, added up at every step reached. ``time`` counts whole
+    steps; values without a time stay without one.
+
+    Values of a step are added up first. A step then makes those up to the next one that has values, from the steps that the kernel
+    still reaches, so no row is copied for each weight before a shuffle or a grouping, and a window's group has a row a step at most.
+    """
+    weights, last = F.array(*[F.lit(float(k)) for k in kernel]), len(kernel) - 1
+    own = Window.partitionBy(*by).orderBy(time)
+    recent = F.collect_list(F.struct(F.col(time).alias("t"), F.col(value).alias("v"))).over(own.rangeBetween(-last, 0))
+    steps = df.groupBy(*by, time).agg(F.sum(value).alias(value))
+    rows = steps.select(*by, time, value, recent.alias("_recent"), F.least(F.col(time) + last, F.lead(time).over(own) - 1).alias("_end"))
+    # a weight beyond the kernel's end is null
+    total = lambda t: F.aggregate("_recent", F.lit(0.0), lambda s, r: s + F.coalesce(r["v"] * F.get(weights, (t - r["t"]).cast("int")), F.lit(0.0)))
+    step = lambda t, v: F.struct(t.alias("t"), v.alias("v"))
+    timeless = F.array(step(F.col(time), F.col(value) * float(sum(kernel))))
+    made = F.when(F.col(time).isNull(), timeless).otherwise(F.transform(F.sequence(time, "_end"), lambda t: step(t, total(t))))
+    return rows.select(*by, F.explode(made).alias("_s")).select(*by, F.col("_s.t").alias(time), F.col("_s.v").alias(value))
+
+
 def resampled_signal(signal: Column, factor: int) -> Column:
     """An array column on a grid ``factor`` times finer, from its first to before its last entry, by linear interpolation."""
     at = F.sequence(F.lit(0), F.size(signal) * 0 + (F.size(signal) - 1) * factor - 1)

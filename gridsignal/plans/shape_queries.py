@@ -279,10 +279,9 @@ def canonical_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's events by quarter of a day, convolved with the canonical response."""
     from gridsignal.plans.event_queries import micros
 
-    h = F.array(*[F.lit(float(x)) for x in signal.canonical_response(25.0, 0.5)])
-    n = table(spark, sf_dir, "events").groupBy("user_id", F.floor(micros() / 21600e6).cast("long").alias("scan")).agg(F.count(F.lit(1)).alias("n"))
-    spread = n.select("user_id", "scan", "n", F.posexplode(h).alias("lag", "h"))
-    return spread.groupBy("user_id", (F.col("scan") + F.col("lag")).alias("scan")).agg((F.round(F.sum(F.col("n") * F.col("h")), 6) + 0.0).alias("response"))
+    scans = table(spark, sf_dir, "events").select("user_id", F.floor(micros() / 21600e6).cast("long").alias("scan"), F.lit(1).alias("n"))
+    out = signal.convolved(scans, ["user_id"], "scan", "n", signal.canonical_response(25.0, 0.5))
+    return out.select("user_id", "scan", (F.round("n", 6) + 0.0).alias("response"))
 
 
 @query("kernel_weights", """
